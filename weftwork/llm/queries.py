@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftwork.llm import chat
+from weftwork.llm import chat, quality
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE = {
