@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftwork.llm import chat, quality
+from weftwork.llm import chat, quality, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op5_simhash": simhash.op5_simhash,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
