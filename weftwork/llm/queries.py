@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftwork.llm import chat, quality, simhash
+from weftwork.llm import chat, quality, simhash, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op9_quality_rules": quality.op9_quality_rules,
 }
