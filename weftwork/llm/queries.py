@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftwork.llm import chat, langid, quality, simhash, substring
+from weftwork.llm import chat, langid, packing, quality, simhash, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_language_id": langid.op6_language_id,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
