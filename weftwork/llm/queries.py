@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.llm import chat, langid, packing, quality, simhash, substring
+from weftwork.llm import chat, langid, packing, quality, sentence, simhash, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_sentencepiece": sentence.op10_sentencepiece,
 }
 
 ORACLE = {
