@@ -88,9 +88,14 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21):
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and each text's number of words; null texts have none."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    flat, parent = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    full = pc.greater(pc.binary_length(flat), 0)
-    return flat.filter(full), np.bincount(np.asarray(parent.filter(full)), minlength=len(texts))
+    flat = pc.list_flatten(lists)
+    counts = np.asarray(pc.list_value_length(lists), np.int64)
+    empty = np.asarray(pc.binary_length(flat)) == 0
+    if empty.any():  # white space at an end of a text leaves an empty word there
+        owner = np.repeat(np.arange(len(texts)), counts)
+        counts = counts - np.bincount(owner[empty], minlength=len(texts))
+        flat = flat.filter(pa.array(~empty))
+    return flat, counts
 
 
 def mix(h: np.ndarray) -> np.ndarray:

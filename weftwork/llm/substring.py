@@ -32,47 +32,83 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm import common
 
 GRAM = 7
-SLICE = 1 << 22
+SLICE = 1 << 21
+#: Which bytes are part of a word: all but the ASCII white space.
+IN_WORD = np.ones(256, bool)
+IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Odd multipliers of the two rolling hashes.
 ROLL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-@dataclass
+#: A window's choice compares so many bits of a gram, then the position, in one number.
+PLACE_BITS = 28
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a multiplier and of its inverse, modulo 2**64; kept for the next slice."""
+    held = _POWERS.get(which)
+    if held is None or len(held[0]) < n:
+        size = max(n, (1 << 21) + (1 << 16))
+        c = ROLL[which]
+        held = tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))) for x in (c, pow(c, -1, 1 << 64)))
+        if size <= 1 << 22:
+            _POWERS[which] = held
+    return held
+
+
 class Words:
     """All words of some texts, in one line, with rolling hashes over them."""
 
-    owner: np.ndarray  # text of each word
-    first: np.ndarray  # position of each text's first word
-    last: np.ndarray  # one past its last
-    sums: tuple[np.ndarray, np.ndarray]
-    back: tuple[np.ndarray, np.ndarray]
-
-    @classmethod
-    def of(cls, texts: pa.Array) -> Words:
-        from xxhash import xxh3_128_digest
-
-        flat, counts = common.split_words(texts)
-        coded = flat.dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64)
-        raw = b"".join(map(xxh3_128_digest, coded.dictionary.cast(pa.large_binary()).to_pylist()))
-        pair = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-        n, ends = len(codes), np.cumsum(counts)
-        sums, back = [], []
-        for k, c in enumerate(ROLL):
-            powers = np.cumprod(np.full(n + 1, c, np.uint64))
-            sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(pair[codes, k] * powers[:n])]) if n else np.zeros(1, np.uint64))
-            back.append(np.cumprod(np.full(n + 1, pow(c, -1, 1 << 64), np.uint64)))
-        return cls(np.repeat(np.arange(len(counts)), counts), ends - counts, ends, tuple(sums), tuple(back))
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, bounds, data = texts.buffers()
+        bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+        bounds = bounds - bounds[0]
+        inside = IN_WORD[self.data]
+        cut = np.zeros(len(inside) + 1, bool)  # where no word goes on from the byte before
+        cut[bounds] = True
+        cut[1:] |= np.append(~inside[1:], True) if len(inside) else True
+        opens = np.flatnonzero(inside & (cut[:-1] | ~np.append(False, inside[:-1])))
+        closes = np.flatnonzero(inside & cut[1:]) + 1
+        self.opens, self.closes = opens, closes
+        self.owner = np.searchsorted(bounds, opens, side="right") - 1  # text of each word
+        counts = np.bincount(self.owner, minlength=len(texts))
+        self.last = np.cumsum(counts)  # one past each text's last word
+        self.first = self.last - counts
+        self.sums: dict[int, np.ndarray] = {}
+
+    def words(self, which: int) -> np.ndarray:
+        """A hash of each word's bytes."""
+        up, down = powers(which, len(self.data) + 1)
+        s = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=s[1:])
+        return common.mix((s[self.closes] - s[self.opens]) * down[self.opens])
+
+    def running(self, which: int) -> np.ndarray:
+        if which not in self.sums:
+            n = len(self.owner)
+            found = np.zeros(n + 1, np.uint64)
+            if n:
+                np.cumsum(self.words(which) * powers(which, n)[0][:n], out=found[1:])
+            self.sums[which] = found
+        return self.sums[which]
 
     def hashed(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        s = self.sums[which]
-        return common.mix((s[end] - s[start]) * self.back[which][start])
+        s = self.running(which)
+        return common.mix((s[end] - s[start]) * powers(which, len(s))[1][start])
+
+    def grams(self) -> np.ndarray:
+        s = self.running(0)
+        return common.mix((s[GRAM:] - s[:-GRAM]) * powers(0, len(s))[1][: len(s) - GRAM])
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions and hashes of the chosen grams; all windows' starts and each one's gram, by position."""
@@ -80,26 +116,33 @@ class Words:
         none = np.empty(0, np.int64)
         if n < length:
             return none, np.empty(0, np.uint64), none, none
-        at = np.arange(n - GRAM + 1)
-        grams = self.hashed(at, at + GRAM, 0)
-        wide, m = length - GRAM + 1, n - length + 1
-        best, where = grams[wide - 1 : wide - 1 + m].copy(), np.full(m, wide - 1)
-        for j in range(wide - 2, -1, -1):
-            less = grams[j : j + m] < best
-            best[less] = grams[j : j + m][less]
-            where[less] = j
-        inside = self.owner[:m] == self.owner[length - 1 : length - 1 + m]
-        start = np.flatnonzero(inside)
-        chosen = start + where[start]
+        grams = self.grams()
+        place = np.uint64((1 << PLACE_BITS) - 1)
+        low = (grams & ~place) | (place - np.arange(len(grams), dtype=np.uint64))
+        wide, have = length - GRAM + 1, 1
+        while have < wide:  # minima of ever longer runs; the last step overlaps
+            step = min(have, wide - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        start = np.flatnonzero(self.owner[: n - length + 1] == self.owner[length - 1 :])
+        chosen = (place - (low[start] & place)).astype(np.int64)
         spots = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
         return spots, grams[spots], start, chosen
 
+    def around(self, spots: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of each gram with up to ``side`` words of its text before and behind."""
+        own = self.owner[spots]
+        start = np.maximum(spots - side, self.first[own])
+        end = np.minimum(spots + GRAM + side, self.last[own])
+        shape = ((spots - start) * (side + 1) + (end - spots - GRAM)).astype(np.uint64)
+        return start, end, common.mix(self.hashed(start, end, 1) + shape)
+
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
-                words = Words.of(part.column("text"))
+                words = Words(part.column("text"))
                 spots, grams, _, _ = words.anchors(length)
                 ids = part.column("doc_id").take(pa.array(words.owner[spots]))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), ids], ["anchor", "doc_id"])
@@ -115,15 +158,12 @@ def extended_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
         bitmap = seeds.value
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
-                words = Words.of(part.column("text"))
+                words = Words(part.column("text"))
                 spots, grams, _, _ = words.anchors(length)
                 pick = common.in_bitmap(bitmap, grams)
                 spots, grams = spots[pick], grams[pick]
+                start, end, around = words.around(spots, side)
                 own = words.owner[spots]
-                start = np.maximum(spots - side, words.first[own])
-                end = np.minimum(spots + GRAM + side, words.last[own])
-                shape = ((spots - start) * (side + 1) + (end - spots - GRAM)).astype(np.uint64)
-                around = common.mix(words.hashed(start, end, 1) + shape)
                 take = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), part.column("doc_id").take(take), part.column("version").take(take),
@@ -134,18 +174,20 @@ def extended_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, around long, doc_id long, version int, start int, n int")
 
 
-def window_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
-    """Every window around a seed that has several extensions."""
+def window_rows(docs: DataFrame, length: int, firsts) -> DataFrame:
+    """Every window around a seed whose extension is met here first, where the seed has several extensions."""
+    side = length - GRAM
 
     def run(batches):
-        bitmap = seeds.value
+        bitmap = firsts.value
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
-                words = Words.of(part.column("text"))
+                words = Words(part.column("text"))
                 spots, grams, start, chosen = words.anchors(length)
-                held = common.in_bitmap(bitmap, grams)
-                which = np.searchsorted(spots, chosen)
-                pick = held[which] if len(spots) else np.empty(0, bool)
+                ids = np.asarray(part.column("doc_id")).view(np.uint64)
+                held = common.in_bitmap(bitmap, grams ^ words.around(spots, side)[2] ^ ids[words.owner[spots]])
+                which = np.repeat(np.arange(len(spots)), np.diff(np.append(np.searchsorted(chosen, spots), len(chosen))))
+                pick = held[which]
                 start, chosen, which = start[pick], chosen[pick], which[pick]
                 around = common.mix(words.hashed(start, start + length, 1) + (chosen - start).astype(np.uint64))
                 own = words.owner[start]
@@ -176,12 +218,14 @@ def repeats(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> Data
     shared = anchor_rows(known, length).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     seeds = spark.sparkContext.broadcast(common.bitmap_of(shared, "anchor", seed_bits))
     extended = common.stored(extended_rows(known, length, seeds), "extended")
-    several = (
-        extended.groupBy("anchor", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where("n > 1 AND lo < hi")
+    first = extended.groupBy("anchor", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    several = first.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("around", "lo")).alias("each")
+    ).where("n > 1 AND lo < hi")
+    firsts = several.select("anchor", F.explode("each").alias("x")).select(
+        F.col("anchor").bitwiseXOR(F.col("x.around")).bitwiseXOR(F.col("x.lo")).alias("key")
     )
-    edges = spark.sparkContext.broadcast(common.bitmap_of(several, "anchor", seed_bits))
+    edges = spark.sparkContext.broadcast(common.bitmap_of(firsts, "key", seed_bits))
     windows = common.stored(window_rows(known, length, edges), "windows")
     found = later_than_first(extended.where(F.col("n") >= length)).unionByName(later_than_first(windows))
     return found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -207,24 +251,49 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.hash("text") == F.col("_version")), "left").drop("_id", "_version")
 
 
-def cut(docs: DataFrame, length: int = 13) -> DataFrame:
-    """The rows of docs with n_words, n_removed and kept (the words that stay, joined by one space) added."""
+def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26, doc_bits: int = 1 << 24) -> DataFrame:
+    """The rows of docs with n_words, n_removed and kept (the words that stay, joined by one space) added.
+
+    Only texts that a bitmap of the documents with spans lets through are dealt
+    out to meet their spans; the others are read and answered where they are.
+    """
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
     names = [f.name for f in fields]
+    docs = docs.select(*names)
+    spans = common.stored(repeats(docs, length, seed_bits), "spans")
+    key = F.col("doc_id").cast("long").bitwiseXOR(F.col("version").cast("long"))
+    cut_docs = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(spans.select(key.alias("key")), "key", doc_bits))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.hash("text").cast("long")), F.lit(-1).cast("long")))
+
+    def let_through(batch: pa.RecordBatch) -> np.ndarray:
+        known = np.asarray(pc.and_(pc.is_valid(batch.column("doc_id")), pc.is_valid(batch.column("text"))))
+        return known & common.in_bitmap(cut_docs.value, np.asarray(batch.column("_key")).view(np.uint64))
+
+    def answer(part: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        found = [kept_words(t, s) for t, s in zip(part.column("text").cast(pa.binary()).to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [*(part.column(n) for n in names), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+             pa.array([f[2] for f in found], pa.binary()).cast(pa.string())],
+            [*names, "n_words", "n_removed", "kept"],
+        )
+
+    def whole(batches):
+        for batch in batches:
+            for part in common.slices(batch.filter(pa.array(~let_through(batch))), "text", SLICE):
+                yield answer(part, [None] * part.num_rows)
 
-    def run(batches):
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(let_through(batch))).select(names)
+
+    def parted(batches):
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                found = [kept_words(t, s) for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
-                     pa.array([f[2] for f in found], pa.binary()).cast(pa.string())],
-                    [*names, "n_words", "n_removed", "kept"],
-                )
+                yield answer(part, part.column("spans").to_pylist())
 
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept string"])
-    return with_spans(docs.select(*names), repeats(docs, length)).mapInArrow(run, shape)
+    more = shape + ", n_words long, n_removed long, kept string"
+    return marked.mapInArrow(whole, more).unionByName(with_spans(marked.mapInArrow(some, shape), spans).mapInArrow(parted, more))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
