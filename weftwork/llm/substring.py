@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common
+from weftwork.llm import bydoc, common
 
 GRAM = 7
 SLICE = 1 << 21
@@ -245,30 +245,10 @@ def kept_words(text: bytes | None, spans: list[dict] | None) -> tuple[int, int,
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of docs, with their spans where they have some."""
-    found = spans.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spans")
-    return docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.hash("text") == F.col("_version")), "left").drop("_id", "_version")
-
-
-def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26, doc_bits: int = 1 << 24) -> DataFrame:
-    """The rows of docs with n_words, n_removed and kept (the words that stay, joined by one space) added.
-
-    Only texts that a bitmap of the documents with spans lets through are dealt
-    out to meet their spans; the others are read and answered where they are.
-    """
+def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> DataFrame:
+    """The rows of docs with n_words, n_removed and kept (the words that stay, joined by one space) added."""
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
     names = [f.name for f in fields]
-    docs = docs.select(*names)
-    spans = common.stored(repeats(docs, length, seed_bits), "spans")
-    key = F.col("doc_id").cast("long").bitwiseXOR(F.col("version").cast("long"))
-    cut_docs = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(spans.select(key.alias("key")), "key", doc_bits))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.hash("text").cast("long")), F.lit(-1).cast("long")))
-
-    def let_through(batch: pa.RecordBatch) -> np.ndarray:
-        known = np.asarray(pc.and_(pc.is_valid(batch.column("doc_id")), pc.is_valid(batch.column("text"))))
-        return known & common.in_bitmap(cut_docs.value, np.asarray(batch.column("_key")).view(np.uint64))
 
     def answer(part: pa.RecordBatch, spans: list) -> pa.RecordBatch:
         found = [kept_words(t, s) for t, s in zip(part.column("text").cast(pa.binary()).to_pylist(), spans, strict=True)]
@@ -278,22 +258,8 @@ def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26, doc_bits: i
             [*names, "n_words", "n_removed", "kept"],
         )
 
-    def whole(batches):
-        for batch in batches:
-            for part in common.slices(batch.filter(pa.array(~let_through(batch))), "text", SLICE):
-                yield answer(part, [None] * part.num_rows)
-
-    def some(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(let_through(batch))).select(names)
-
-    def parted(batches):
-        for batch in batches:
-            for part in common.slices(batch, "text", SLICE):
-                yield answer(part, part.column("spans").to_pylist())
-
-    more = shape + ", n_words long, n_removed long, kept string"
-    return marked.mapInArrow(whole, more).unionByName(with_spans(marked.mapInArrow(some, shape), spans).mapInArrow(parted, more))
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept string"])
+    return bydoc.answered(docs.select(*names), repeats(docs, length, seed_bits), "spans", answer, shape)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
