@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftwork.llm import chat, langid, packing, quality, sentence, simhash, substring
+from weftwork.llm import chat, langid, packing, pii, quality, sentence, simhash, substring
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op3_pii": pii.op3_pii,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_language_id": langid.op6_language_id,
