@@ -1,15 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+1. language_id: texts without a letter, or of no language with some certainty, go.
+2. simhash_near_dedup: of each class of near copies the smallest doc_id stays.
+3. substring_dedup: passages of 13 words and more that an earlier document has go,
+   and with them documents of which nothing is left.
+4. pii: personal data and terms that disclose it are generalised or removed.
+5. best_fit_packing: the texts become sequences of 2048 tokens.
+
+All stages but the last return the columns of documents; ``n_chars`` follows the
+text. An empty input gives an empty output at every stage.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftwork.llm import common, langid, packing, pii, simhash, substring
+
+#: Below this calibrated probability a document counts as of no known language.
+LEAST_CERTAINTY = 0.4
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    marked = langid.identify(docs, model)
+    return marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAINTY)).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substring.cut(docs)
+    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return sized(left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns))
+
+
+def pii_sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sized(pii.sanitise(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.PackingConfig(public_tokenizers.path("word_bpe_49k.json")))
 
-from weftwork.llm import common
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("pii", pii_sanitise),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: SQL can't express the stages; they are tested against brute force.
 ORACLE_SQL = None
 
 

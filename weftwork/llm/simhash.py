@@ -27,11 +27,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common
+from weftwork.llm import bydoc, common
 
 QUARTERS = 4
 WIDTH = 17  # population counts of 16 bits: 0 to 16
@@ -63,16 +62,17 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): one row for each row of docs."""
+    """(doc_id, version, fp long): one row for each row of docs; version is hash(text)."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text"):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 found = np.array([fingerprint_of(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(found, pa.int64())], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash("text").alias("version"))
+    return known.mapInArrow(run, "doc_id long, version int, fp long")
 
 
 def tile_of(fp: Column) -> Column:
@@ -235,7 +235,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: int = 2048) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links reach; one row for each row of docs."""
+    """doc_id, version, fp, component_id: the smallest doc_id that links reach; one row for each row of docs."""
     marked = common.stored(fingerprints(docs, shingle), "fingerprints")
     distinct = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct, radius, block))
@@ -245,6 +245,18 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: i
     return marked.join(common.stored(by_fp, "classes"), "fp")
 
 
+def one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their class. Rows without a doc_id all stay."""
+    gone = near_duplicates(docs, radius, shingle).where("doc_id IS NOT NULL AND version IS NOT NULL AND component_id < doc_id")
+    gone = gone.select("doc_id", "version", F.lit(True).alias("gone")).distinct()
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def answer(part: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+        return part.filter(pa.array([not g for g in gone], pa.bool_()))
+
+    return bydoc.answered(docs, gone, "gone", answer, shape)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return near_duplicates(docs).select(
