@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from weftwork.llm import bydoc, common
 
 GRAM = 7
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Which bytes are part of a word: all but the ASCII white space.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -56,7 +56,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a multiplier and of its inverse, modulo 2**64; kept for the next slice."""
     held = _POWERS.get(which)
     if held is None or len(held[0]) < n:
-        size = max(n, (1 << 21) + (1 << 16))
+        size = max(n, SLICE + (1 << 16))
         c = ROLL[which]
         held = tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))) for x in (c, pow(c, -1, 1 << 64)))
         if size <= 1 << 22:
@@ -174,18 +174,21 @@ def extended_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, around long, doc_id long, version int, start int, n int")
 
 
-def window_rows(docs: DataFrame, length: int, firsts) -> DataFrame:
+def window_rows(docs: DataFrame, length: int, sent) -> DataFrame:
     """Every window around a seed whose extension is met here first, where the seed has several extensions."""
     side = length - GRAM
 
     def run(batches):
-        bitmap = firsts.value
+        several, firsts = sent.value
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
                 words = Words(part.column("text"))
                 spots, grams, start, chosen = words.anchors(length)
                 ids = np.asarray(part.column("doc_id")).view(np.uint64)
-                held = common.in_bitmap(bitmap, grams ^ words.around(spots, side)[2] ^ ids[words.owner[spots]])
+                held = common.in_bitmap(several, grams)
+                likely = np.flatnonzero(held)
+                at = spots[likely]
+                held[likely] = common.in_bitmap(firsts, grams[likely] ^ words.around(at, side)[2] ^ ids[words.owner[at]])
                 which = np.repeat(np.arange(len(spots)), np.diff(np.append(np.searchsorted(chosen, spots), len(chosen))))
                 pick = held[which]
                 start, chosen, which = start[pick], chosen[pick], which[pick]
@@ -201,10 +204,14 @@ def window_rows(docs: DataFrame, length: int, firsts) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, around long, doc_id long, version int, start int, n int")
 
 
-def later_than_first(rows: DataFrame) -> DataFrame:
-    """Rows whose key a smaller doc_id has too. Grouped minimum, then a join on the key with one row a key."""
-    first = rows.groupBy("anchor", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    return rows.join(first, ["anchor", "around"]).where("doc_id > lo").select("doc_id", "version", "start", "n")
+def firsts(rows: DataFrame) -> DataFrame:
+    """(anchor, around, lo, hi): the smallest and the greatest doc_id of each key."""
+    return rows.groupBy("anchor", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+
+
+def later_than_first(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows whose key a smaller doc_id has too: a join with one row a key."""
+    return rows.join(first.where("lo < hi").drop("hi"), ["anchor", "around"]).where("doc_id > lo").select("doc_id", "version", "start", "n")
 
 
 def repeats(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> DataFrame:
@@ -218,16 +225,12 @@ def repeats(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> Data
     shared = anchor_rows(known, length).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     seeds = spark.sparkContext.broadcast(common.bitmap_of(shared, "anchor", seed_bits))
     extended = common.stored(extended_rows(known, length, seeds), "extended")
-    first = extended.groupBy("anchor", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = first.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("around", "lo")).alias("each")
-    ).where("n > 1 AND lo < hi")
-    firsts = several.select("anchor", F.explode("each").alias("x")).select(
-        F.col("anchor").bitwiseXOR(F.col("x.around")).bitwiseXOR(F.col("x.lo")).alias("key")
-    )
-    edges = spark.sparkContext.broadcast(common.bitmap_of(firsts, "key", seed_bits))
-    windows = common.stored(window_rows(known, length, edges), "windows")
-    found = later_than_first(extended.where(F.col("n") >= length)).unionByName(later_than_first(windows))
+    first = common.stored(firsts(extended), "firsts")
+    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 AND lo < hi")
+    met_first = first.select(F.col("anchor").bitwiseXOR(F.col("around")).bitwiseXOR(F.col("lo")).alias("key"))
+    edges = spark.sparkContext.broadcast((common.bitmap_of(several, "anchor", seed_bits), common.bitmap_of(met_first, "key", seed_bits)))
+    windows = window_rows(known, length, edges)  # made twice, which costs less than to keep them
+    found = later_than_first(extended.where(F.col("n") >= length), first).unionByName(later_than_first(windows, firsts(windows)))
     return found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
