@@ -1,0 +1,149 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weftwork.llm import langid, pii
+
+from .cases import FOREIGN, SCHEMA, STEMS, documents, frame, prose, with_clashes
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(t):
+    found = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = [int(x) for x in re.sub("[^0-9]", "", m[0])]
+        if 12 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    found += [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(found)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "@", ".", "-", "+", " ", "(", ")", "1", "12", "255", "256", "0001", "4111111111111111", "@x.y", "é", "_", "%", "9.9.9.9"]), max_size=24).map("".join))
+def test_base_spans_are_those_of_the_patterns(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_base_spans_take_linear_time():
+    for part in ("a", "1", "1.", "+1", "a@", "@a.", "1 ", "+", "."):
+        pii.base_spans(part * 200_000)
+
+
+def people(n=40):
+    rng = random.Random(2)
+    rows = [(k, prose(rng, 60), "en", "s", 1) for k in range(n)]
+    for k in range(5):  # one person's name stands beside the address in five documents, and once without it
+        rows.append((100 + k, f"{prose(rng, 20)} write to Zebulon Quartermain at zq@corp.example.com or +1 (555) 010-9999 {prose(rng, 20)}", "en", "s", 1))
+    rows.append((200, f"{prose(rng, 20)} said Quartermain yesterday", "en", "s", 1))
+    rows.append((201, f"{prose(rng, 20)} rare@solo.example.com Unseen {prose(rng, 20)}", "en", "s", 1))
+    return rows
+
+
+def brute_terms(rows, config):
+    """Disclosure of each term by counting documents."""
+    import math
+
+    near, with_entity, with_term = {}, {}, {}
+    for r in rows:
+        text = r[1] or ""
+        spans = pii.base_spans(text)
+        pairs = pii.beside(text, spans, config) if spans else set()
+        for e, t in pairs:
+            (with_entity if t == "" else near)[e if t == "" else (e, t)] = (with_entity if t == "" else near).get(e if t == "" else (e, t), 0) + 1
+        for t in set(pii.TERM.findall(text.lower())):
+            with_term[t] = with_term.get(t, 0) + 1
+    found = {}
+    for (e, t), n in near.items():
+        if n >= config.least_documents and with_entity[e] < len(rows):
+            d = math.log(len(rows) * n / (with_entity[e] * with_term[t])) / math.log(len(rows) / with_entity[e])
+            found[t] = max(d, found.get(t, -9))
+    return {t: d for t, d in found.items() if d >= config.generalise}
+
+
+def test_terms_that_disclose(spark):
+    rows = people()
+    config = pii.PiiConfig()
+    got = {r["doc_id"]: r for r in pii.spans_of(with_clashes(frame(spark, rows)), config).collect()}
+    flagged = brute_terms(rows, config)
+    assert {"zebulon", "quartermain"} <= set(flagged) and "unseen" not in flagged
+    for r in rows:
+        base = brute_spans(r[1])
+        expected = [(m.start(), 5 if flagged[m[0].lower()] >= config.remove else 4, m.end()) for m in pii.TERM.finditer(r[1])
+                    if m[0].lower() in flagged and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert [(s["start"], s["kind"], s["end"]) for s in got[r[0]]["spans"]] == sorted(base + expected)
+    assert any(s["kind"] >= 4 for s in got[200]["spans"]) and not any(s["kind"] >= 4 for s in got[201]["spans"])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert "zq@" not in clean[100] and "[EMAIL]" in clean[100] and "[PHONE]" in clean[100] and "Quartermain" not in clean[200] and clean[3] == rows[3][1]
+
+
+def test_pii_on_hard_rows(spark):
+    rows = [*documents(30), (None, "mail x@y.zz", None, None, None), (77, "mail x@y.zz", None, None, None), (77, "mail x@y.zz", None, None, None)]
+    got = pii.spans_of(frame(spark, rows)).collect()
+    assert sorted(str((r["doc_id"], r["n_email"], r["base_sha256"])) for r in got) == sorted(
+        str((r[0], sum(k == 0 for _, k, _ in brute_spans(r[1] or "")), __import__("hashlib").sha256(pii.written(brute_spans(r[1] or "")).encode()).hexdigest())) for r in rows
+    )
+    texts = sorted(str((r["doc_id"], r["text"])) for r in pii.sanitise(frame(spark, rows)).collect())
+    assert sum("[EMAIL]" in t for t in texts) == 3 and len(texts) == len(rows)
+    assert pii.spans_of(spark.createDataFrame([], SCHEMA)).count() == 0 and pii.sanitise(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_language_is_learnt_and_held_out_rows_are_told(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 80, FOREIGN.get(lang, STEMS)), lang, "s", 1) for k in range(160) for lang in [rng.choice(["en", *FOREIGN])]]
+    docs = frame(spark, rows)
+    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    got = langid.identify(with_clashes(docs), model).where(langid.held_out()).collect()
+    assert len(got) > 30 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_of_hard_rows(spark):
+    docs = frame(spark, documents(40))
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    got = langid.identify(docs, model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    nothing = langid.train(docs.where("false").select("doc_id", "text", "lang"))
+    assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
+    assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_document_frequencies_cover_all_rows(spark):
+    rows = documents(25)
+    config = langid.LangidConfig(buckets=1 << 10)
+    counts, total = langid.document_frequencies(frame(spark, rows), config)
+    expected, n = np.zeros(1 << 10), 0
+    for r in rows:
+        points = langid.cleaned(r[1] or "")
+        if len(points):
+            n += 1
+            expected[np.unique(langid.gram_buckets(points, config))] += 1
+    assert total == n and (counts == expected).all()
+
+
+def test_pieces_give_the_same_grams(monkeypatch):
+    config = langid.LangidConfig(buckets=1 << 10)
+    text = prose(random.Random(1), 500)
+    whole = langid.features(text, config)
+    monkeypatch.setattr(langid, "PIECE", 97)
+    parts = langid.features(text, config)
+    assert (whole[0] == parts[0]).all()
+
+
+def test_temperature_finds_the_scale():
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 3, 4000)
+    logits = rng.normal(size=(4000, 3))
+    logits[np.arange(4000), labels] += 1.0
+    assert langid.temperature(5 * logits, labels) == pytest.approx(5 * langid.temperature(logits, labels), rel=0.05)

@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from weftwork.llm import common
 
 
+def fresh(names: list[str], stem: str) -> str:
+    """A column name that none of ``names`` is; Spark's names don't heed case."""
+    held, name = {n.lower() for n in names}, f"_{stem}"
+    while name in held:
+        name = f"_{name}"
+    return name
+
+
 def answered(
     docs: DataFrame, facts: DataFrame, fact: str, answer: Callable[[pa.RecordBatch, list], pa.RecordBatch], shape: str,
     doc_bits: int = 1 << 24, most_bytes: int = 1 << 21,
@@ -26,15 +34,16 @@ def answered(
     meets no fact and is answered as such.
     """
     names = docs.columns
+    key_name, fact_name, id_name, version_name = (fresh(names, stem) for stem in ("key", "fact", "id", "version"))
     facts = common.stored(facts.select("doc_id", "version", fact), "facts")
     key = F.col("doc_id").cast("long").bitwiseXOR(F.col("version").cast("long"))
     sent = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(facts.select(key.alias("key")), "key", doc_bits))
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.hash("text").cast("long")), F.lit(-1).cast("long")))
+    marked = docs.withColumn(key_name, F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.hash("text").cast("long")), F.lit(-1).cast("long")))
     same = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def let_through(batch: pa.RecordBatch) -> np.ndarray:
         known = np.asarray(pc.and_(pc.is_valid(batch.column("doc_id")), pc.is_valid(batch.column("text"))))
-        return known & common.in_bitmap(sent.value, np.asarray(batch.column("_key")).view(np.uint64))
+        return known & common.in_bitmap(sent.value, np.asarray(batch.column(key_name)).view(np.uint64))
 
     def apart(batches):
         for batch in batches:
@@ -48,10 +57,10 @@ def answered(
     def met(batches):
         for batch in batches:
             for part in common.slices(batch, "text", most_bytes):
-                yield answer(part.select(names), part.column("_fact").to_pylist())
+                yield answer(part.select(names), part.column(fact_name).to_pylist())
 
-    held = facts.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col(fact).alias("_fact"))
+    held = facts.select(F.col("doc_id").alias(id_name), F.col("version").alias(version_name), F.col(fact).alias(fact_name))
     joined = marked.mapInArrow(through, same).join(
-        held, (F.col("doc_id") == F.col("_id")) & (F.hash("text") == F.col("_version")), "left"
-    ).drop("_id", "_version")
+        held, (F.col("doc_id") == F.col(id_name)) & (F.hash("text") == F.col(version_name)), "left"
+    ).drop(id_name, version_name)
     return marked.mapInArrow(apart, shape).unionByName(joined.mapInArrow(met, shape))
