@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE = {
     "op1_chat_format": chat.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
+    "op4_substring_dedup": substring.OP4_SQL,
     "op7_top_k_search": hamming.OP7_SQL,
 }
