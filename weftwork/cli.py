@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import argparse
 import os
+import signal
 import sys
 
 from pyspark.sql import SparkSession
 
 from weftwork.errors import WeftError
+from weftwork.model import DEFAULT_PLUGINS
 from weftwork.operators.changes import StateTable
 from weftwork.operators.predicates import visible
-from weftwork.plans.executor import run
+from weftwork.plans.executor import Executor, run
 from weftwork.plans.plugins import Registry
-from weftwork.sources.taskfiles import catalog, dotenv, load
+from weftwork.sources.taskfiles import catalog, dotenv, load, plugin_list
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("tasks", nargs="*", help="names or patterns of tasks; arguments for them follow after --")
     p.add_argument("-f", "--file", help="task file; else the nearest one above the working folder")
     p.add_argument("-g", "--global", dest="home", action="store_true", help="use the task file in the home folder")
+    p.add_argument("-c", "--config", help="file with a list of plugins, package.module:Class each")
     p.add_argument("-p", "--parallel", action="store_true")
     p.add_argument("-l", "--list-tasks", action="store_true")
     p.add_argument("-d", "--dry", action="store_true")
@@ -39,7 +42,10 @@ def main(argv: list[str] | None = None) -> int:
     for key, value in dotenv().items():
         os.environ.setdefault(key, value)
     try:
-        file = load(o.file, home=o.home)
+        registry = Registry(allow_shell=o.allow_shell)
+        if o.config:
+            registry.load(plugin_list(o.config))
+        file = load(o.file, home=o.home, plugins=dict.fromkeys((*DEFAULT_PLUGINS, *registry.keys())))
         spark = SparkSession.builder.appName("weftwork").getOrCreate()
         if o.list_tasks:
             rows = catalog(spark, file)
@@ -49,8 +55,16 @@ def main(argv: list[str] | None = None) -> int:
         state = StateTable(spark, o.state)
         if o.clean_cache:
             state.clear()
+        jobs: list[Executor] = []
+
+        def stop(*_) -> None:
+            for job in jobs:
+                job.cancel()
+
+        for name in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(name, stop)
         for result in run(
-            file, *o.tasks, spark=spark, registry=Registry(allow_shell=o.allow_shell), args=args, parallel=o.parallel, state=state, force=o.force, dry=o.dry, echo=print
+            file, *o.tasks, spark=spark, registry=registry, started=jobs, args=args, parallel=o.parallel, state=state, force=o.force, dry=o.dry, echo=print
         ):
             if o.summary:
                 for name, ms in result.durations:

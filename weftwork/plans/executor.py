@@ -115,7 +115,8 @@ class Executor:
         failures: dict[str, BaseException] = {}
         started = time.monotonic()
         with ThreadPoolExecutor(self.threads) as pool:
-            running: dict[Future, str] = {pool.submit(self._run_node, self.plan.nodes[n]): n for n in order if not degree[n]}
+            first = [] if self.cancelled.is_set() else [n for n in order if not degree[n]]
+            running: dict[Future, str] = {pool.submit(self._run_node, self.plan.nodes[n]): n for n in first}
             while running:
                 done, _ = wait(running, return_when=FIRST_COMPLETED)
                 for future in sorted(done, key=lambda f: order.index(running[f])):
@@ -128,6 +129,8 @@ class Executor:
                         if not degree[m] and not failures and not self.cancelled.is_set():
                             running[pool.submit(self._run_node, self.plan.nodes[m])] = m
         self.result.total_ms = round(1000 * (time.monotonic() - started))
+        if self.cancelled.is_set() and not failures:
+            raise TaskFailed("the run was cancelled")
         if failures:
             raise failures[min(failures, key=order.index)]
         self.result.results = [result_text(self._values[n]) if n in self._values else "" for n in order]
@@ -162,7 +165,8 @@ class Executor:
                         if render(text, scope, self._functions()).strip() not in TRUE:
                             raise PreconditionFailed(f"{gate.owner}: the precondition {text!r} is not true")
                     if gate.sources is not None and self.state is not None:
-                        patterns = [str(Path(gate.dir, p)) for p in gate.sources]
+                        folder = render(gate.dir, scope, self._functions())
+                        patterns = [str(Path(folder, render(p, scope, self._functions()))) for p in gate.sources]
                         found = is_changed(self.spark, self.state, gate.owner, patterns, gate.strategy)
                 self._gates[id(gate)] = found
             return self._gates[id(gate)]
@@ -216,7 +220,8 @@ class Executor:
                     self.echo(line)
 
             frames = {name: self._values[n] for name, n in node.deps.items() if isinstance(self._values.get(n), DataFrame)}
-            found = plugin.run(Context(self.spark, node.name, node.command.payload, scope, env, node.dir, self.args, self.dry, emit, self.cancelled, frames, self._functions()))
+            directory = render(node.dir, scope, self._functions())
+            found = plugin.run(Context(self.spark, node.name, node.command.payload, scope, env, directory, self.args, self.dry, emit, self.cancelled, frames, self._functions()))
             if isinstance(found, DataFrame):
                 self.result.frames[node.task] = found
             self._emit("exit", node.name, "0")
@@ -233,13 +238,18 @@ class Executor:
 
 def run(
     file: TaskFile, *names: str, spark: SparkSession | None = None, registry: Registry | None = None, args: list[str] | None = None, parallel: bool = False,
-    platform: tuple[str, str] | None = None, environ: dict[str, str] | None = None, **options: Any,
+    platform: tuple[str, str] | None = None, environ: dict[str, str] | None = None, started: list[Executor] | None = None, **options: Any,
 ) -> list[RunResult]:
-    """Plan and run tasks by name, one after another, or all at once with ``parallel``. They share one run cache."""
+    """Plan and run tasks by name, one after another, or all at once with ``parallel``. They share one run cache.
+
+    started: gets the executors before they run, for whoever wants to cancel them.
+    """
     options.setdefault("cache", RunCache())
     jobs = [
         Executor(plan(file, n, args=args, parallel=parallel, environ=environ, platform=platform), spark, registry, args=args, **options) for n in names
     ]
+    if started is not None:
+        started += jobs
     if not parallel:
         return [j.run() for j in jobs]
     with ThreadPoolExecutor(max(1, len(jobs))) as pool:

@@ -7,11 +7,12 @@ the caller has allowed it.
 
 from __future__ import annotations
 
+import importlib
 import os
 import re
 import subprocess
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -46,7 +47,10 @@ class Context:
 
 
 class Plugin(Protocol):
-    """``requires`` is the engine version asked for: the same major number, and at least this one."""
+    """``requires`` is the engine version asked for: the same major number, and at least this one.
+
+    A class that is loaded by name also has ``key``, the task key that it runs.
+    """
 
     requires: str
 
@@ -156,6 +160,16 @@ class Registry:
             raise PlanError(f"a plugin for {key} is registered already")
         self._held[key] = plugin
 
+    def load(self, names: Iterable[str]) -> None:
+        """Register plugin classes named ``package.module:Class``, each under its ``key``."""
+        for name in names:
+            module, _, attribute = name.partition(":")
+            try:
+                made = getattr(importlib.import_module(module), attribute)()
+            except (ImportError, AttributeError, ValueError) as e:
+                raise PlanError(f"plugin {name} can't be loaded: {e}") from e
+            self.register(made.key, made)
+
     def remove(self, key: str) -> None:
         self._held.pop(key, None)
 
