@@ -47,8 +47,8 @@ def find_one_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.find(_namespaces(spark, sf_dir), ":Customer#000000001", ("AMERICA", "NATION_19", "web")).unionByName(
-        resolve.find(_namespaces(spark, sf_dir), "::AMERICA:NATION_1:Customer#000000022")
+    return resolve.find(_namespaces(spark, sf_dir), ":Customer#000000001", ("MIDDLE EAST", "NATION_19", "web")).unionByName(
+        resolve.find(_namespaces(spark, sf_dir), "::AMERICA:NATION_16:Customer#000000002")
     ).unionByName(resolve.find(_nations(spark, sf_dir), "NATION_1", ("AMERICA",)).withColumn("description", F.lit(""))).select("path", "description")
 
 
@@ -207,7 +207,7 @@ ORACLE = {
     "catalog_list": _TASKS,
     "find_any_depth": f"SELECT * FROM ({_TASKS}) WHERE path LIKE '%:NATION_3:%' AND split_part(path, ':', 2) = 'NATION_3'",
     "find_one_level": f"SELECT * FROM ({_NATION_PATHS})",
-    "find_exact": f"""SELECT * FROM ({_TASKS}) WHERE path IN ('AMERICA:NATION_19:Customer#000000001', 'AMERICA:NATION_1:Customer#000000022')
+    "find_exact": f"""SELECT * FROM ({_TASKS}) WHERE path IN ('MIDDLE EAST:NATION_19:Customer#000000001', 'AMERICA:NATION_16:Customer#000000002')
         UNION ALL SELECT path, '' FROM ({_NATION_PATHS}) WHERE path = 'AMERICA:NATION_1'""",
     "platform_filter": """SELECT doc_id, lang, source FROM documents WHERE doc_id % 4 = 0 OR (doc_id % 4 = 1 AND lang = 'en')
         OR (doc_id % 4 = 2 AND source = 'src3') OR (doc_id % 4 = 3 AND lang = 'en' AND source = 'src3')""",
