@@ -60,7 +60,7 @@ def answered(
                 yield answer(part.select(names), part.column(fact_name).to_pylist())
 
     held = facts.select(F.col("doc_id").alias(id_name), F.col("version").alias(version_name), F.col(fact).alias(fact_name))
-    joined = marked.mapInArrow(through, same).join(
+    joined = marked.mapInArrow(common.frugal(through), same).join(
         held, (F.col("doc_id") == F.col(id_name)) & (F.hash("text") == F.col(version_name)), "left"
     ).drop(id_name, version_name)
-    return marked.mapInArrow(apart, shape).unionByName(joined.mapInArrow(met, shape))
+    return marked.mapInArrow(common.frugal(apart), shape).unionByName(joined.mapInArrow(common.frugal(met), shape))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +101,21 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, counts
 
 
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that gives unused memory back at its end: workers live on and serve other stages."""
+
+    def runs(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return runs
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads nearby values (the splitmix64 finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -144,7 +144,7 @@ def top_k(rows: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFram
     passing = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("is_query"), "id", "code", none.alias("ids"))
     found = (
         home.unionByName(passing).repartition("block").sortWithinPartitions("block", "is_query")
-        .mapInArrow(search_blocks(config), "query_id long, vec_id long, distance int")
+        .mapInArrow(common.frugal(search_blocks(config)), "query_id long, vec_id long, distance int")
     )
     nearest = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= config.k).select("query_id", "rank", "vec_id", "distance")

@@ -105,7 +105,7 @@ def document_frequencies(docs: DataFrame, config: LangidConfig) -> tuple[np.ndar
             [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], ["bucket", "n"]
         )
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(common.frugal(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     found, total = np.zeros(config.buckets), 0  # at most buckets + 1 rows
     for r in rows:
         if r["bucket"] < 0:
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: LangidModel) -> DataFrame:
                 )
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
-    return docs.select(*names).mapInArrow(run, shape)
+    return docs.select(*names).mapInArrow(common.frugal(run), shape)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

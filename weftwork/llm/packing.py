@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weftwork.llm import common
 
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class PackingConfig:
     length: int = 2048
     end_id: int = 0
     open_bins: int = 256
-    cached_words: int = 300_000
+    cached_words: int = 200_000
     #: Open pieces of so many partitions meet in one packer of the second round.
     merged: int = 64
 
@@ -65,27 +65,27 @@ class Encoder:
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
-    def _each(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[np.ndarray]:
+    def _together(self, words: list[str]) -> list[bytes]:
         """Plain words as one text, which costs less than a call for each; the ends of words part the ids again."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         groups = np.cumsum([1 + (w[-1] in ".,") for w in words])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != groups[-1]:
             return self._each(words)
-        bounds = [0, *ends[groups - 1].tolist()]
-        return [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        raw, bounds = ids.tobytes(), [0, *(4 * ends[groups - 1]).tolist()]
+        return [raw[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit numbers."""
         cache = self.cache
         new = [w for w in words if w not in cache]
         if not new:
             return [cache[w] for w in words]
         plain = [w for w in new if PLAIN.fullmatch(w)] if self.ends.any() else []
-        found: dict[str, np.ndarray] = {}
+        found: dict[str, bytes] = {}
         for at in range(0, len(plain), TOGETHER):
             part = plain[at : at + TOGETHER]
             found.update(zip(part, self._together(part), strict=True))
@@ -99,15 +99,16 @@ class Encoder:
         """All ids in one line, and each text's number of ids."""
         flat, counts = common.split_words(texts)
         coded = flat.dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64)
+        codes = np.asarray(coded.indices)
         ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), "<u4")
         first = np.cumsum(sizes) - sizes
         n = sizes[codes]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(first[codes] - (ends - n), n) + np.arange(total)
+        at = np.repeat((first[codes] - (ends - n)).astype(np.int32), n)
+        at += np.arange(total, dtype=np.int32)
         return table[at], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
@@ -236,12 +237,12 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
         yield from pack_stream(parts, config, (1 << 62) + (TaskContext.get().partitionId() << 32), True)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    once = common.stored(source.mapInArrow(first, shape), "packed")
+    once = common.stored(source.mapInArrow(common.frugal(first), shape), "packed")
     packers = max(1, round(source.rdd.getNumPartitions() / config.merged))
     # Longest first within a packer: best-fit leaves least behind that way.
     rest = once.where("sequence_id IS NULL").select(*NAMES)
     rest = rest.repartition(packers).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-    return once.where("sequence_id IS NOT NULL").unionByName(rest.mapInArrow(second, shape))
+    return once.where("sequence_id IS NOT NULL").unionByName(rest.mapInArrow(common.frugal(second), shape))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

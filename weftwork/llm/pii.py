@@ -177,7 +177,7 @@ def find(docs: DataFrame, config: PiiConfig) -> DataFrame:
                 )
 
     return docs.mapInArrow(
-        run, "doc_id long, version int, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+        common.frugal(run), "doc_id long, version int, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
         "spans array<struct<start:int,kind:int,end:int>>, beside array<struct<entity:long,term:string>>",
     )
 
@@ -185,7 +185,7 @@ def find(docs: DataFrame, config: PiiConfig) -> DataFrame:
 class Lookup:
     """Which lower-case words the bitmap has; remembers a bounded number of answers."""
 
-    def __init__(self, bitmap: np.ndarray, most: int = 400_000) -> None:
+    def __init__(self, bitmap: np.ndarray, most: int = 100_000) -> None:
         self.bitmap, self.most, self.known = bitmap.tobytes(), most, {}
         self.mask = len(bitmap) * 8 - 1
 
@@ -205,7 +205,7 @@ class Lookup:
         return found
 
 
-def document_counts(docs: DataFrame, sent, flush: int = 200_000) -> DataFrame:
+def document_counts(docs: DataFrame, sent, flush: int = 100_000) -> DataFrame:
     """(term, n): in how many texts each word comes that the bitmap lets through; added up in each task first."""
 
     def run(batches):
@@ -224,7 +224,7 @@ def document_counts(docs: DataFrame, sent, flush: int = 200_000) -> DataFrame:
                     counts.clear()
         yield rows()
 
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(common.frugal(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def term_places(docs: DataFrame, sent) -> DataFrame:
@@ -244,7 +244,7 @@ def term_places(docs: DataFrame, sent) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "version", "term", "start", "end"])
 
-    return docs.mapInArrow(run, "doc_id long, version int, term string, start int, end int")
+    return docs.mapInArrow(common.frugal(run), "doc_id long, version int, term string, start int, end int")
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, config: PiiConfig) -> DataFrame:

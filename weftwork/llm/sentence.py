@@ -292,7 +292,7 @@ def encode(docs: DataFrame, model: PieceModel, column: str = "text", ids: str =
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], [*names, ids])
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{ids}` array<int>"])
-    return docs.select(*names).mapInArrow(run, shape)
+    return docs.select(*names).mapInArrow(common.frugal(run), shape)
 
 
 def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -313,7 +313,7 @@ def decode(rows: DataFrame, model: PieceModel, ids: str = "ids", column: str = "
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, column])
 
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{column}` string"])
-    return rows.select(*names).mapInArrow(run, shape)
+    return rows.select(*names).mapInArrow(common.frugal(run), shape)
 
 
 def summary(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -340,7 +340,7 @@ def summary(docs: DataFrame, model: PieceModel) -> DataFrame:
                 )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    return source.mapInArrow(common.frugal(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(found, pa.int64())], ["doc_id", "version", "fp"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash("text").alias("version"))
-    return known.mapInArrow(run, "doc_id long, version int, fp long")
+    return known.mapInArrow(common.frugal(run), "doc_id long, version int, fp long")
 
 
 def tile_of(fp: Column) -> Column:
@@ -205,7 +205,7 @@ def links(distinct: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
         .select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("visitor"), "fp")
     )
     rows = at_home.unionByName(within).unionByName(abroad)
-    return rows.repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor").mapInArrow(compare_blocks(radius), "a long, b long")
+    return rows.repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor").mapInArrow(common.frugal(compare_blocks(radius)), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -147,7 +147,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 ids = part.column("doc_id").take(pa.array(words.owner[spots]))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), ids], ["anchor", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), "anchor long, doc_id long")
 
 
 def extended_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
@@ -171,7 +171,7 @@ def extended_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
                     ["anchor", "around", "doc_id", "version", "start", "n"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, around long, doc_id long, version int, start int, n int")
+    return docs.mapInArrow(common.frugal(run), "anchor long, around long, doc_id long, version int, start int, n int")
 
 
 def window_rows(docs: DataFrame, length: int, sent) -> DataFrame:
@@ -201,7 +201,7 @@ def window_rows(docs: DataFrame, length: int, sent) -> DataFrame:
                     ["anchor", "around", "doc_id", "version", "start", "n"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, around long, doc_id long, version int, start int, n int")
+    return docs.mapInArrow(common.frugal(run), "anchor long, around long, doc_id long, version int, start int, n int")
 
 
 def firsts(rows: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return common.stored(with_first(pages).mapInArrow(run, "file string, records long"), "manifest")
+    return common.stored(with_first(pages).mapInArrow(common.frugal(run), "file string, records long"), "manifest")
 
 
 INDEX = (
@@ -229,7 +229,7 @@ def capture_runs(manifest: DataFrame, folder: str, run_rows: int = RUN_ROWS) ->
                 if rows:
                     yield from sorted_run(rows, f"{file}#{runs}")
 
-    return manifest.select("file").mapInArrow(run, INDEX)
+    return manifest.select("file").mapInArrow(common.frugal(run), INDEX)
 
 
 class LoserTree:
@@ -306,7 +306,7 @@ def merged(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
         if rows:
             yield out(rows, position)
 
-    return held.repartitionByRange(ranges, "url_key", "date", "page_id").mapInArrow(run, INDEX + ", part int, position long")
+    return held.repartitionByRange(ranges, "url_key", "date", "page_id").mapInArrow(common.frugal(run), INDEX + ", part int, position long")
 
 
 def capture_index(pages: DataFrame, folder: str | None = None) -> DataFrame:
