@@ -30,26 +30,31 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.modest(spark)
     model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
     marked = langid.identify(docs, model)
     return marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAINTY)).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.modest(spark)
     return simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.modest(spark)
     cut = substring.cut(docs)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return sized(left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns))
 
 
 def pii_sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.modest(spark)
     return sized(pii.sanitise(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.modest(spark)
     return packing.pack(docs, packing.PackingConfig(public_tokenizers.path("word_bpe_49k.json")))
 
 

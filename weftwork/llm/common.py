@@ -22,7 +22,20 @@ DELIMITERS = "[\\x20\\x09-\\x0D]+"
 BUCKET_BITS = 32_768
 
 
+#: Rows that go to a Python worker at once: texts are a few thousand bytes each, and both sides hold a batch.
+BATCH_ROWS = 2000
+
+
+def modest(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS where they are larger: memory of a task follows them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from weftwork.llm import bydoc, common
 
 GRAM = 7
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Which bytes are part of a word: all but the ASCII white space.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
