@@ -41,7 +41,7 @@ class PackingConfig:
     length: int = 2048
     end_id: int = 0
     open_bins: int = 256
-    cached_words: int = 200_000
+    cached_words: int = 120_000
     #: Open pieces of so many partitions meet in one packer of the second round.
     merged: int = 64
 
