@@ -31,6 +31,24 @@ def test_graph(spark):
         graph.check_ends(nodes, edges.union(spark.createDataFrame([("4", "9")], "src string, dst string")))
 
 
+def test_long_chains(spark, tmp_path):
+    """Longer than Spark's 100 levels of a recursive query."""
+    from weftwork import catalogue
+
+    turns = spark.range(300).selectExpr("1L AS conv_id", "cast(id AS int) AS turn").unionByName(spark.range(4).selectExpr("2L AS conv_id", "cast(id AS int) AS turn"))
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r["conv_id"]: r["last_level"] for r in catalogue.topo_level(spark, str(tmp_path)).collect()} == {1: 299, 2: 3}
+    edges = spark.range(120).selectExpr("id AS src", "id + 1 AS dst")
+    levels = {r["id"]: r["level"] for r in graph.chain_levels(edges, spark.range(1)).collect()}
+    assert levels == {k: k for k in range(121)}
+
+
+def test_a_cycle_behind_a_root_is_told(spark):
+    edges = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "B")], "src string, dst string")
+    with pytest.raises(PlanError):
+        graph.chain_levels(edges, spark.createDataFrame([("A",)], "id string"))
+
+
 def test_platforms(spark):
     rows = [(None,), (["linux"],), (["AMD64 "],), (["linux / amd64"],), (["windows"],), ([],)]
     df = spark.createDataFrame(rows, "p array<string>")

@@ -89,12 +89,8 @@ def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topo_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    edges = graph.chained(turns, "conv_id", "turn", "turn").select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
-    nodes = turns.select(name(F.col("turn")).alias("id"))
-    found = graph.chain_levels(edges, graph.ready(nodes, edges))
-    return found.select(F.split("id", ":")[0].cast("long").alias("conv_id"), "level").groupBy("conv_id").agg(F.max("level").alias("last_level"))
+    found = graph.chain_positions(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return found.groupBy("conv_id").agg(F.max("level").alias("last_level"))
 
 
 def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,16 +88,37 @@ def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
     return False
 
 
+def chain_positions(siblings: DataFrame, parent: str, ordinal: str) -> DataFrame:
+    """(parent, level): how many siblings come before each; of any length, as no round is made for a level."""
+    before = F.row_number().over(Window.partitionBy(parent).orderBy(ordinal)) - 1
+    return siblings.select(parent, before.cast("long").alias("level"))
+
+
 def chain_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, level) for acyclic edges from given roots, by one recursive query."""
-    edges.createOrReplaceTempView("weft_edges")
-    roots.createOrReplaceTempView("weft_roots")
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE walk(id, level) AS (
-             SELECT id, CAST(0 AS BIGINT) FROM weft_roots
-             UNION ALL SELECT e.dst, w.level + 1 FROM walk w JOIN weft_edges e ON e.src = w.id)
-           SELECT id, max(level) AS level FROM walk GROUP BY id"""
-    )
+    """(id, level) for acyclic edges from given roots: the longest way to each node; raises on a cycle.
+
+    Each round steps from the nodes of one level to all that follow them and is
+    stored in the checkpoint folder, so there is no limit on levels or rows.
+    """
+    spark = edges.sparkSession
+    folder = f"{_folder(spark)}/weftwork-{uuid.uuid4().hex}"
+    steps = edges.select("src", "dst").distinct()
+    ends = steps.select("dst").distinct().count()
+    shape = f"id {roots.schema['id'].dataType.simpleString()}, level long"
+    now, found, level = roots.select("id").distinct(), [], 0
+    while True:
+        path = f"{folder}/{level}"
+        now.select("id", F.lit(level).cast("long").alias("level")).write.parquet(path)
+        now = spark.read.schema(shape).parquet(path)
+        if now.isEmpty():
+            break
+        if level > ends:  # a way without a cycle enters each node once
+            raise PlanError("the graph has a cycle")
+        found.append(path)
+        level += 1
+        now = now.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+    walked = spark.read.schema(shape).parquet(*(found or [path]))
+    return walked.groupBy("id").agg(F.max("level").alias("level"))
 
 
 def listing(edges: DataFrame) -> DataFrame:
