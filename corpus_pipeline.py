@@ -50,7 +50,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.modest(spark)
-    return sized(pii.sanitise(docs))
+    return sized(pii.sanitise(docs, pii.ALL_PAIRS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftwork.llm import langid, pii
 
 from .cases import FOREIGN, SCHEMA, STEMS, documents, frame, prose, with_clashes
@@ -86,6 +87,22 @@ def test_terms_that_disclose(spark):
     assert "zq@" not in clean[100] and "[EMAIL]" in clean[100] and "[PHONE]" in clean[100] and "Quartermain" not in clean[200] and clean[3] == rows[3][1]
 
 
+def test_names_beside_rare_entities(spark, tmp_path):
+    """The query flags by disclosure alone: one document with an entity is enough."""
+    rows = people()
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    flagged = brute_terms(rows, pii.ALL_PAIRS)
+    assert flagged["unseen"] == pytest.approx(1) and "quartermain" in flagged
+    got = {r["doc_id"]: r["spans"] for r in pii.op3_pii(spark, str(tmp_path)).collect()}
+    for doc, text, *_ in rows:
+        base = brute_spans(text)
+        terms = [(m.start(), 5 if flagged[m[0].lower()] >= 0.95 else 4, m.end()) for m in pii.TERM.finditer(text)
+                 if m[0].lower() in flagged and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert got[doc] == pii.written(sorted(base + terms))
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.pii_sanitise(spark, frame(spark, rows), "").collect()}
+    assert "Unseen" not in clean[201] and "[EMAIL]" in clean[201]
+
+
 def test_pii_on_hard_rows(spark):
     rows = [*documents(30), (None, "mail x@y.zz", None, None, None), (77, "mail x@y.zz", None, None, None), (77, "mail x@y.zz", None, None, None)]
     got = pii.spans_of(frame(spark, rows)).collect()

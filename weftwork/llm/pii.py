@@ -10,7 +10,8 @@ where n(e,t) counts the documents that have t within ``reach`` words of e. It is
 1 where every document with t has e beside it. A term that at least
 ``least_documents`` documents have beside one entity is removed from a
 ``remove`` disclosure on and generalised from ``generalise`` on, in every
-document of the corpus that has it.
+document of the corpus that has it. The query and the pipeline ask for no such
+support (``ALL_PAIRS``): their thresholds alone decide, for rare entities too.
 
 Three passes read the texts; none deals them out. Which words to count, and
 which to look up, goes to the tasks as a bitmap of a fixed size; its false
@@ -64,6 +65,10 @@ class PiiConfig:
     bits: int = 1 << 23
 
 
+#: Every pair of an entity and a term counts, however few documents have it.
+ALL_PAIRS = PiiConfig(least_documents=1)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(.[A-Za-z0-9-]+)+, in time linear in the text."""
     found, last = [], 0
@@ -321,6 +326,6 @@ def sanitise(docs: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*(F.lit(k) for k in KINDS))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
-    return spans_of(common.read(spark, sf_dir, "documents")).select(
+    return spans_of(common.read(spark, sf_dir, "documents"), ALL_PAIRS).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans")
     )
