@@ -1,11 +1,13 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 1. language_id: texts without a letter, or of no language with some certainty, go.
-2. simhash_near_dedup: of each class of near copies the smallest doc_id stays.
-3. substring_dedup: passages of 13 words and more that an earlier document has go,
+2. simhash_near_dedup: of each class of fingerprints within 2 bits the smallest doc_id stays.
+3. near_copies: of each class of texts with a Jaccard similarity of 0.8 and more over
+   five-word shingles the smallest doc_id stays.
+4. substring_dedup: passages of 13 words and more that an earlier document has go,
    and with them documents of which nothing is left.
-4. pii: personal data and terms that disclose it are generalised or removed.
-5. best_fit_packing: the texts become sequences of 2048 tokens.
+5. pii: personal data and terms that disclose it are generalised or removed.
+6. best_fit_packing: the texts become sequences of 2048 tokens.
 
 All stages but the last return the columns of documents; ``n_chars`` follows the
 text. An empty input gives an empty output at every stage.
@@ -19,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, langid, packing, pii, simhash, substring
+from weftwork.llm import common, langid, near, packing, pii, simhash, substring
 
 #: Below this calibrated probability a document counts as of no known language.
 LEAST_CERTAINTY = 0.4
@@ -41,6 +43,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.one_of_each(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.modest(spark)
+    return near.one_of_each(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.modest(spark)
     cut = substring.cut(docs)
@@ -61,6 +68,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("language_id", language_id),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("near_copies", near_copies),
     ("substring_dedup", substring_dedup),
     ("pii", pii_sanitise),
     ("best_fit_packing", best_fit_packing),
