@@ -49,6 +49,13 @@ def test_a_cycle_behind_a_root_is_told(spark):
         graph.chain_levels(edges, spark.createDataFrame([("A",)], "id string"))
 
 
+def test_a_depth_limit_is_told(spark):
+    nodes, edges = frames(spark, "ABCD", [("A", "B"), ("B", "C"), ("C", "D")])
+    with pytest.raises(RuntimeError):
+        graph.levels(nodes, edges, most=2)
+    assert graph.levels(nodes.where("id < 'C'"), edges.where("dst < 'C'"), most=2).count() == 2
+
+
 def test_platforms(spark):
     rows = [(None,), (["linux"],), (["AMD64 "],), (["linux / amd64"],), (["windows"],), ([],)]
     df = spark.createDataFrame(rows, "p array<string>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,9 @@ def chained(siblings: DataFrame, parent: str, ordinal: str, node: str) -> DataFr
     return siblings.select(parent, before.alias("src"), F.col(node).alias("dst")).where("src IS NOT NULL")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, level): the number of nodes on the longest way to each node; raises on a cycle.
+def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, level): the number of nodes on the longest way to each node; raises on a cycle, and where the
+    graph is deeper than ``most``, if that is given.
 
     Peels the nodes that nothing comes before, level by level. Each round is
     stored in the checkpoint folder, so plans don't grow with the depth.
@@ -50,7 +52,7 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     folder = f"{_folder(spark)}/weftwork-{uuid.uuid4().hex}"
     left, rest = nodes.select("id").distinct(), edges.select("src", "dst").distinct()
     found: list[str] = []
-    for level in range(most):
+    for level in count():
         free = ready(left, rest).select("id", F.lit(level).cast("long").alias("level"))
         path = f"{folder}/level={level}"
         free.write.parquet(path)
@@ -59,6 +61,8 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
             if not left.isEmpty():
                 raise PlanError("the graph has a cycle")
             break
+        if most is not None and level >= most:
+            raise RuntimeError(f"the graph is deeper than {most} levels")
         found.append(path)
         left.join(free, "id", "left_anti").write.parquet(f"{folder}/left/{level}")
         rest.join(free.select(F.col("id").alias("src")), "src", "left_anti").write.parquet(f"{folder}/rest/{level}")
