@@ -10,8 +10,8 @@ Each partition packs its own rows: no shuffle of texts. Pieces in bins that are
 still open at a partition's end go on, without their texts, to a second round of
 fewer packers, so a partition does not cost half-full sequences of its own.
 
-Tokens come from a word cache: white space parts tokens, so each distinct word of
-a batch is encoded once and the ids are gathered by word number.
+Tokens come from a cache: white space parts tokens, so each distinct word of a
+batch is encoded once and the ids are gathered by word number.
 
 Defined cases: null text is empty and gives one piece, the end id; a null doc_id
 is packed like any other; repeated rows are packed as often as they come; an
@@ -20,12 +20,14 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,75 +43,121 @@ class PackingConfig:
     length: int = 2048
     end_id: int = 0
     open_bins: int = 256
-    cached_words: int = 120_000
+    cached_words: int = 200_000
     #: Open pieces of so many partitions meet in one packer of the second round.
     merged: int = 64
 
 
-#: Words that are one run of letters, with a full stop or comma behind it or not: one or two tokens' groups.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
-TOGETHER = 1000
+#: The one splitting rule under which units may be encoded alone (fixed value: the tokenizer file's own pattern).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word of one run of Latin letters with ASCII marks before and behind it. No apostrophe and no digit, which part words in other ways.
+MARK = r"[!-&(-/:-@\[-`{-~]"
+UNITS = f"^(?P<lead>{MARK}*)(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<tail>{MARK}*)$"
+TOGETHER = 2000
 
 
 class Encoder:
-    """Token ids of whole texts, through the distinct words of a batch."""
+    """Token ids of whole texts, through the distinct words of a batch.
+
+    White space parts tokens, and so do a run of letters and the marks around it:
+    such a word is up to three units (marks, letters in lower case, marks), whose
+    ids follow one another. Units are encoded once and kept, up to ``cached`` of
+    them, as ranges of one array of ids. All other words, those with a special
+    token in them too, are units as they stand and go through the tokenizer as it is.
+    """
 
     def __init__(self, path: str, cached: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cached, self.cache = cached, {}
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        if suffix:
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Plain words as one text, which costs less than a call for each; the ends of words part the ids again."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        groups = np.cumsum([1 + (w[-1] in ".,") for w in words])
+        self.bare = self.ends = None
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        exact = not any(t["normalized"] or t["content"] != "".join(t["content"].split()) for t in spec.get("added_tokens", []))
+        if spec["model"]["type"] == "BPE" and suffix and exact and steps and steps[0].get("pattern") == {"Regex": SPLIT}:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            # Units are in lower case and parted already: neither patterns nor special tokens have to be looked for.
+            steps = [{"type": "WhitespaceSplit"}, *steps[1:]]
+            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
+            self.bare = Tokenizer.from_str(json.dumps(spec))
+        self.cached = cached
+        self.known: dict[str, int] = {}
+        self.ids, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in one line, and each word's number of ids."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain units as one text, which costs less than a call for each; the ends of words part the ids again."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != groups[-1]:
-            return self._each(words)
-        raw, bounds = ids.tobytes(), [0, *(4 * ends[groups - 1]).tolist()]
-        return [raw[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit numbers."""
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        if not new:
-            return [cache[w] for w in words]
-        plain = [w for w in new if PLAIN.fullmatch(w)] if self.ends.any() else []
-        found: dict[str, bytes] = {}
-        for at in range(0, len(plain), TOGETHER):
-            part = plain[at : at + TOGETHER]
-            found.update(zip(part, self._together(part), strict=True))
-        other = [w for w in new if w not in found]
-        found.update(zip(other, self._each(other), strict=True))
-        if len(cache) + len(found) <= self.cached:
-            cache.update(found)
-        return [cache[w] if w in cache else found[w] for w in words]
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(units) else self._each(units)
+
+    def units(self, units: list[str], plain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the first and the number of them for each unit; the first ``plain`` units are plain."""
+        number = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            at = int(np.searchsorted(new, plain))
+            one, rest = [units[k] for k in new[:at].tolist()], [units[k] for k in new[at:].tolist()]
+            found = [self._together(one[k : k + TOGETHER]) for k in range(0, len(one), TOGETHER)]
+            if rest:
+                found.append(self._each(rest))
+            number[new] = len(self.size) + np.arange(len(new))
+            ids, size = (np.concatenate([old, *(f[k] for f in found)]) for k, old in enumerate((self.ids, self.size)))
+            if len(size) <= self.cached:
+                self.known.update(zip((units[k] for k in new.tolist()), number[new].tolist(), strict=True))
+                self.ids, self.size = ids, size
+        else:
+            ids, size = self.ids, self.size
+        return ids, (np.cumsum(size) - size)[number], size[number]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the first and the number of them for each of the distinct words."""
+        if self.bare is None:
+            return self.units(words.to_pylist(), 0)
+        parts = pc.extract_regex(words, UNITS)
+        whole = np.asarray(pc.is_null(parts))
+        for token in self.special:
+            whole = whole | np.asarray(pc.match_substring(words, token))
+        lead, stem, tail = (pc.if_else(pa.array(whole), "", pc.struct_field(parts, k)) for k in range(3))
+        plain = pa.concat_arrays([lead, pc.utf8_lower(stem), tail]).dictionary_encode()
+        n, other = len(plain.dictionary), words.filter(pa.array(whole))
+        ids, first, size = self.units(plain.dictionary.to_pylist() + other.to_pylist(), n)
+        code = np.asarray(plain.indices).reshape(3, len(words)).astype(np.int64).T
+        # Three units a word; a word that is a unit of its own stands in the first place. The empty unit has no ids.
+        held = size[code]
+        begin = first[code]
+        held[whole], begin[whole, 0], held[whole, 0] = 0, first[n:], size[n:]
+        return ids[ranges(begin.ravel(), held.ravel())], *bounds(held.sum(axis=1))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one line, and each text's number of ids."""
         flat, counts = common.split_words(texts)
         coded = flat.dictionary_encode()
         codes = np.asarray(coded.indices)
-        ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table = np.frombuffer(b"".join(ids), "<u4")
-        first = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat((first[codes] - (ends - n)).astype(np.int32), n)
-        at += np.arange(total, dtype=np.int32)
-        return table[at], np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+        ids, first, size = self.words(coded.dictionary)
+        n = size[codes]
+        ends = np.append(0, np.cumsum(n))
+        return ids[ranges(first[codes], n)], np.diff(ends[np.append(0, np.cumsum(counts))])
+
+
+def bounds(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(size) - size, size
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one range behind the other."""
+    before, _ = bounds(size)
+    at = np.repeat((first - before).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
