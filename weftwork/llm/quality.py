@@ -8,7 +8,10 @@ is a fixed comparison: the same counts give the same verdict.
 
 The trusted documents are a bounded sample: the ``target_rows`` labelled ones
 with the smallest hash of their doc_id, so their ids can be broadcast. The raw
-counts cover every document. The model is one row of ``buckets`` doubles.
+counts cover every document. The model is one row of ``buckets`` numbers.
+
+Words are dealt out as rows within a task and summed there, by a number of their
+document, in generated code; a document leaves its task as one row of sums.
 
 Defined cases: a null text has no words, so it fails the base rules, with score
 0; a null doc_id is scored like any other; repeated rows are counted and
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+#: Ratios are whole multiples of 1 / UNITS, so a document's sum does not depend on the order of its n-grams.
+UNITS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -41,15 +46,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of all words and of all pairs of neighbours."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    pair = F.slice(
-        F.zip_with(words, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")),
-        1, F.greatest(F.size(words) - 1, F.lit(0)),
-    )
-    return F.concat(single, pair)
+def gram_at(words: Column, place: Column, word: Column, buckets: int) -> tuple[Column, Column]:
+    """Bucket numbers of a word, and of it and its next neighbour (null at the end)."""
+    after = F.get(words, place + 1)
+    single = F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+    return single, F.when(after.isNotNull(), F.pmod(F.xxhash64(word, after), F.lit(buckets)).cast("int"))
 
 
 def repeated_words(words: Column) -> Column:
@@ -75,74 +76,73 @@ def repeated_words(words: Column) -> Column:
     return F.transform(F.array(windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))[0]
 
 
-def measured(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    """The base rules' counts of each document; keeps the words for the score."""
+def by_word(docs: DataFrame, rules: QualityRules, model: DataFrame) -> DataFrame:
+    """One row a word (one for a document without words) with the document's own counts and the ratios of its n-grams."""
     text = F.coalesce("text", F.lit(""))
-    bare = F.length(F.translate("text", SPACE, ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(SPACE)) != "")
     counted = (
-        docs.select("doc_id", text.alias("text"))
-        .select("doc_id", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+        .select("row", "doc_id", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
         .select(
-            "doc_id", "words",
-            F.size("words").cast("long").alias("n_words"),
-            bare.cast("long").alias("word_chars"),
-            (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            "row", "doc_id", "words",
+            (F.octet_length("text") - F.octet_length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("words")).alias("n_repeat_words"),
         )
     )
-    failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_percent * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    # The model's array is met behind all that is worked out for a document, so it is looked into and never copied.
+    each = counted.join(model, how="left", on=F.lit(True)).select("*", F.posexplode_outer("words").alias("place", "word"))
+    single, pair = gram_at(F.col("words"), F.col("place"), F.col("word"), rules.buckets)
+    ratio = F.coalesce(F.get("ratio", single), F.lit(0)) + F.coalesce(F.get("ratio", pair), F.lit(0))
+    return each.select("row", "doc_id", "n_symbols", "n_dup_lines", "n_repeat_words", "word", F.length("word").alias("chars"), ratio.alias("ratio"))
 
 
-def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """How often each bucket comes in all texts; every task sends one row per bucket at most."""
-    return (
-        docs.select(words_of(F.coalesce("text", F.lit(""))).alias("words"))
-        .select(F.explode(grams(F.col("words"), buckets)).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def gram_counts(docs: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
+    """How often each bucket comes in all texts (raw) and in the sample's (good), in one pass; every task sends one row per bucket at most.
+
+    Every bucket is in the result."""
+    marked = docs.select("doc_id", words_of(F.coalesce("text", F.lit(""))).alias("words")).join(
+        F.broadcast(sample.withColumn("good", F.lit(1).cast("long"))), "doc_id", "left"
     )
+    # The outer form: from the inner one the optimizer infers a filter that splits every text once more.
+    each = marked.select("words", F.coalesce("good", F.lit(0).cast("long")).alias("good"), F.posexplode_outer("words").alias("place", "word"))
+    grams = F.array(*gram_at(F.col("words"), F.col("place"), F.col("word"), buckets))
+    none = F.lit(0).cast("long")
+    found = each.where("word IS NOT NULL").select(F.explode(grams).alias("bucket"), F.lit(1).cast("long").alias("raw"), "good").where("bucket IS NOT NULL")
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), none.alias("raw"), none.alias("good"))
+    return found.unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row, one array: log p_target - log p_raw by bucket number."""
-    spark, a = docs.sparkSession, F.lit(rules.smoothing)
+    """One row, one array: log p_target - log p_raw by bucket number, in units of 1 / UNITS."""
+    a = F.lit(rules.smoothing)
     sample = (
         trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.target_rows)
     )
-    target = docs.join(F.broadcast(sample), "doc_id", "left_semi")
-    both = (
-        gram_counts(docs, rules.buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("good"))
-        .unionByName(gram_counts(target, rules.buckets).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("good")))
-        .unionByName(spark.range(rules.buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("good")))
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    )
-    listed = both.agg(
+    listed = gram_counts(docs, sample, rules.buckets).agg(
         F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"),
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("rows"),
     )
     spread = a * rules.buckets
-    return listed.select(F.transform("rows", lambda r: F.when(F.col("all_good") == 0, F.lit(0.0)).otherwise(
+    return listed.select(F.transform("rows", lambda r: F.when(F.col("all_good") == 0, F.lit(0).cast("long")).otherwise(F.round(UNITS * (
         F.log((r["good"] + a) / (F.col("all_good") + spread)) - F.log((r["raw"] + a) / (F.col("all_raw") + spread))
-    )).alias("ratio"))
+    )).cast("long"))).alias("ratio"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """doc_id, the counts, base_failed, score, kept: one row for each row of docs."""
     model = F.broadcast(ratio_table(docs, trusted, rules))  # one row of a fixed length
-    scored = (
-        measured(docs, rules)
-        .join(model, how="left", on=F.lit(True))
-        .withColumn("grams", grams(F.col("words"), rules.buckets))
-        .withColumn("score", F.when(F.size("grams") > 0, F.aggregate(
-            "grams", F.lit(0.0), lambda acc, g: acc + F.get("ratio", g)
-        ) / F.size("grams")).otherwise(F.lit(0.0)))
+    n = F.col("n_words")
+    found = by_word(docs, rules, model).groupBy("row").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        F.count("word").alias("n_words"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("word_chars"), F.sum("ratio").alias("ratio"),
     )
-    return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score",
-        (~F.col("base_failed") & (F.col("score") >= rules.threshold)).alias("kept"),
+    failed = (n < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_percent * n)
+    score = F.when(n > 0, F.col("ratio") / UNITS / (2 * n - 1)).otherwise(F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score"),
+        (~failed & (score >= rules.threshold)).alias("kept"),
     )
 
 
