@@ -85,16 +85,6 @@ def test_components_of_a_long_path(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
-def test_one_of_each_keeps_the_smallest(spark):
-    rows = documents(40)
-    docs = frame(spark, rows)
-    classes = simhash.near_duplicates(docs).where("doc_id IS NOT NULL").collect()
-    least = {(r["doc_id"], r["fp"]) for r in classes if r["component_id"] == r["doc_id"]}
-    kept = simhash.one_of_each(docs).collect()
-    assert {(r["doc_id"], np.uint64(brute_fingerprint(r["text"])).view(np.int64).item()) for r in kept if r["doc_id"] is not None} == least
-    assert sum(r["doc_id"] is None for r in kept) == 2 and kept[0].asDict().keys() == dict(docs.dtypes).keys()
-
-
 def brute_cut(rows, n=13):
     first = {}
     for r in rows:

@@ -1,9 +1,10 @@
 
 import corpus_pipeline
-from weftwork.llm import pii, simhash
+from weftwork.llm import langid, pii
 
-from .cases import SCHEMA, WORD, documents
+from .cases import CLASHING, SCHEMA, WORD, documents, frame, with_clashes
 from .test_dedup import brute_cut
+from .test_near import brute_kept
 from .test_tokens import expected_pieces
 
 
@@ -28,8 +29,7 @@ def test_stages_one_after_another(spark, tmp_path):
     assert {r["doc_id"] for r in before if any(c.isalpha() for c in r["text"] or "")} - {r["doc_id"] for r in after} <= {67, 66}
     assert all(any(c.isalpha() for c in r["text"] or "") for r in after)
     before, after = seen["simhash_near_dedup"]
-    classes = simhash.near_duplicates(spark.createDataFrame(before, SCHEMA)).where("component_id = doc_id").select("doc_id").distinct().collect()
-    assert {r["doc_id"] for r in after} - {None} == {r["doc_id"] for r in classes}
+    assert sorted(str((r["doc_id"], r["text"])) for r in after) == brute_kept([tuple(r) for r in before])
     before, after = seen["substring_dedup"]
     cut = brute_cut([tuple(r) for r in before])
     left = {str((r["doc_id"], " ".join(WORD.findall(r["text"] or "")))) for r in after}
@@ -43,6 +43,24 @@ def test_stages_one_after_another(spark, tmp_path):
     assert sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in after) == expected_pieces([tuple(r) for r in before], 2048)
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    docs = with_clashes(frame(spark, documents(20)))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == docs.columns and after.count() > 0
+        assert after.where(" OR ".join(f"`{c}` <> 'clash' OR `{c}` IS NULL" for c in CLASHING)).count() == 0
+        docs = after
+
+
+def test_language_stage_by_the_model_itself(spark):
+    docs = frame(spark, documents(60))
+    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    kept = sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.language_id(spark, docs, "").collect())
+    answers = [(r, model.predict(r["text"])) for r in docs.collect()]
+    assert kept == sorted(str((r["doc_id"], r["text"])) for r, (lang, p) in answers if lang != "und" and p >= corpus_pipeline.LEAST_CERTAINTY)
+
+
 def test_run_on_nothing(spark, tmp_path):
     folder = write(spark, [], tmp_path / "in")
     assert corpus_pipeline.run(spark, folder).count() == 0

@@ -28,22 +28,23 @@ def answered(
     """``answer`` over all rows of docs with each row's fact, None where it has none.
 
     facts: (doc_id, version, ``fact``), at most one row for each pair, neither part
-    null; version is ``hash(text)``, which tells rows of one doc_id apart. Only
+    null; version is ``common.text_hash``, which tells rows of one doc_id apart. Only
     texts that a bitmap of those keys lets through are dealt out to meet their
     fact; the others are answered where they are read. A false yes of the bitmap
-    meets no fact and is answered as such.
+    meets no fact and is answered as such. The stored facts and the bitmap outlive
+    the innermost open scope, for the result reads them.
     """
     names = docs.columns
     key_name, fact_name, id_name, version_name = (fresh(names, stem) for stem in ("key", "fact", "id", "version"))
-    facts = common.stored(facts.select("doc_id", "version", fact), "facts")
-    key = F.col("doc_id").cast("long").bitwiseXOR(F.col("version").cast("long"))
-    sent = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(facts.select(key.alias("key")), "key", doc_bits))
-    marked = docs.withColumn(key_name, F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(F.hash("text").cast("long")), F.lit(-1).cast("long")))
+    facts = common.stored(facts.select("doc_id", "version", fact), "facts", outlives=True)
+    key = F.col("doc_id").cast("long").bitwiseXOR(F.col("version"))
+    bitmap = common.sent(docs.sparkSession, common.bitmap_of(facts.select(key.alias("key")), "key", doc_bits), outlives=True)
+    marked = docs.withColumn(key_name, F.coalesce(F.col("doc_id").cast("long").bitwiseXOR(common.text_hash()), F.lit(-1).cast("long")))
     same = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def let_through(batch: pa.RecordBatch) -> np.ndarray:
         known = np.asarray(pc.and_(pc.is_valid(batch.column("doc_id")), pc.is_valid(batch.column("text"))))
-        return known & common.in_bitmap(sent.value, np.asarray(batch.column(key_name)).view(np.uint64))
+        return known & common.in_bitmap(bitmap.value, np.asarray(batch.column(key_name)).view(np.uint64))
 
     def apart(batches):
         for batch in batches:
@@ -61,6 +62,6 @@ def answered(
 
     held = facts.select(F.col("doc_id").alias(id_name), F.col("version").alias(version_name), F.col(fact).alias(fact_name))
     joined = marked.mapInArrow(common.frugal(through), same).join(
-        held, (F.col("doc_id") == F.col(id_name)) & (F.hash("text") == F.col(version_name)), "left"
+        held, (F.col("doc_id") == F.col(id_name)) & (common.text_hash() == F.col(version_name)), "left"
     ).drop(id_name, version_name)
     return marked.mapInArrow(common.frugal(apart), shape).unionByName(joined.mapInArrow(common.frugal(met), shape))

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session has none."""
+    """The folder that all executors share; one is set only where the session has none and runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="weftwork-")
         spark.sparkContext.setCheckpointDir(folder)
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -53,13 +56,62 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: What the scopes that are open now have to clear away, the innermost last: folders and broadcasts.
+_OPEN: ContextVar[tuple[list, ...]] = ContextVar("open", default=())
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, whichever file system holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """A scope: what ``stored`` and ``sent`` make within goes at its end, but for what is made to outlive it.
+
+    Only what no DataFrame reads that is used later may be made in a scope.
+    """
+    held: list = []
+    token = _OPEN.set((*_OPEN.get(), held))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for x in held:
+            if isinstance(x, str):
+                deleted(spark, x)
+            else:
+                x.destroy()
+
+
+def _made(x, outlives: bool) -> None:
+    scopes = _OPEN.get()
+    if len(scopes) > outlives:
+        scopes[-1 - outlives].append(x)
+
+
+def fresh_folder(spark: SparkSession, outlives: bool = False) -> str:
+    """A new folder's name in the shared folder; it is the open scope's to delete."""
+    folder = f"{scratch(spark)}/weftwork-{uuid.uuid4().hex}"
+    _made(folder, outlives)
+    return folder
+
+
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: this cuts lineage and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/weftwork-{uuid.uuid4().hex}/{name}"
+    path = f"{fresh_folder(df.sparkSession, outlives)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value, outlives: bool = False):
+    """A broadcast of something of a fixed size; it is the open scope's to destroy."""
+    found = spark.sparkContext.broadcast(value)
+    _made(found, outlives)
+    return found
+
+
 def bitmap_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
     """A bitmap of ``bits`` bits (a power of two) with bit ``key mod bits`` set for each long key.
 
@@ -137,5 +189,5 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_hash(column: str = "text") -> Column:
-    """Tells rows of one doc_id with different texts apart."""
-    return F.xxhash64(F.col(column))
+    """64 bits that tell rows of one doc_id with different texts apart; null for a null text."""
+    return F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column)))

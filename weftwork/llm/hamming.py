@@ -38,6 +38,7 @@ class SearchConfig:
     k: int = 10
     bits: int = 64
     block_rows: int = 16_384
+    most_tasks: int = 20_000
 
 
 def code_of(vector: str, bits: int):
@@ -143,7 +144,7 @@ def top_k(rows: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFram
     home = distinct.select(F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("is_query"), F.lit(0).cast("long").alias("id"), "code", "ids")
     passing = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("is_query"), "id", "code", none.alias("ids"))
     found = (
-        home.unionByName(passing).repartition("block").sortWithinPartitions("block", "is_query")
+        home.unionByName(passing).repartition(min(blocks, config.most_tasks), "block").sortWithinPartitions("block", "is_query")
         .mapInArrow(common.frugal(search_blocks(config)), "query_id long, vec_id long, distance int")
     )
     nearest = Window.partitionBy("query_id").orderBy("distance", "vec_id")

@@ -233,23 +233,23 @@ def train(labelled: DataFrame, config: LangidConfig = LangidConfig()) -> LangidM
     return LangidModel(languages if learnt else [], np.ascontiguousarray(idf[:, None] * weights / t), config)
 
 
-def identify(docs: DataFrame, model: LangidModel) -> DataFrame:
-    """The rows of docs with lang_pred and score added."""
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+def identify(docs: DataFrame, model: LangidModel, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of docs with the language and its probability; ``added`` names the two, and columns of docs with these names are replaced."""
+    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in added}]
     names = [f.name for f in fields]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    known = common.sent(docs.sparkSession, model)
 
     def run(batches):
-        held = sent.value
+        held = known.value
         for batch in batches:
             for part in common.slices(batch, "text"):
                 found = [held.predict(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    [*names, "lang_pred", "score"],
+                    [*names, *added],
                 )
 
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{added[0]}` string, `{added[1]}` double"])
     return docs.select(*names).mapInArrow(common.frugal(run), shape)
 
 

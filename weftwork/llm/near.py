@@ -1,10 +1,13 @@
 """Near copies: all pairs of texts with a Jaccard similarity of 4/5 and more over word shingles.
 
-An exact prefix join. All shingles have one order for the whole corpus; two texts
-of that similarity share a shingle among the first n - ceil(4 n / 5) + 1 of each,
-so only texts that meet there are compared: first by how many shingles each has in
-every one of BUCKETS buckets, which bounds what they share from above, then by their
-whole sets of shingles.
+Candidates come from two sources. SimHash (``simhash.links`` over fingerprints of
+the same shingles) links the closest; texts with one fingerprint meet through one
+of them. What lies beyond its radius is found by an exact prefix join: all
+shingles have one order for the whole corpus; two texts of that similarity share a
+shingle among the first n - ceil(4 n / 5) + 1 of each. Whatever its source, a pair
+is compared: first by how many shingles each has in every one of BUCKETS buckets,
+which bounds what they share from above, then by their whole sets of shingles. So
+the classes are those of a comparison of all pairs.
 The order puts shingles last that a sample of the texts has often. It decides how
 many texts are compared, never which are found.
 
@@ -14,10 +17,11 @@ with each other, so a large class costs a few rows for each text and not the
 square. Texts that share a rare shingle and are not alike are compared pair by pair.
 Only the sets of texts to compare are dealt out.
 
-Defined cases: a text without words, or null, has no near copy; words are split and
-lowered as in ``simhash``; fewer words than a shingle has are one shingle; classes
-are transitive; rows with a null doc_id are compared, link others, and all stay;
-64-bit hashes stand for shingles and for sets of them.
+Defined cases: a text without words, or null, has no near copy and stays; words are
+split and lowered as in ``simhash``; fewer words than a shingle has are one shingle;
+classes are transitive; rows with a null doc_id are compared, link others, and all
+stay; repeated rows (one doc_id, one text) are one document, so they all stay or all
+go; 64-bit hashes stand for shingles and for sets of them; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -41,21 +45,8 @@ BUCKETS = 256
 
 
 def shingles_of(text: bytes, shingle: int = 5) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the word shingles, sorted."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - shingle + 1
-    return np.unique(np.fromiter(
-        (xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n
-    ))
+    """The distinct hashes of the word shingles, sorted."""
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -91,27 +82,29 @@ def often(docs: DataFrame, shingle: int, bits: int) -> list[np.ndarray]:
 
 
 def marked(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """(doc_id, version, sig, n, prefix, counts) for each row with words: its set of shingles, their number, the first ones, and how many each bucket has."""
-    sent = docs.sparkSession.sparkContext.broadcast(often(docs, shingle, bits))
+    """(doc_id, version, sig, fp, n, prefix, counts) for each row with words: its set of shingles, its fingerprint, their number, the first ones, and how many each bucket has."""
+    with common.passing(docs.sparkSession):
+        frequent = common.sent(docs.sparkSession, often(docs, shingle, bits), outlives=True)
 
     def first(h: np.ndarray) -> np.ndarray:
-        rank = sum(common.in_bitmap(b, h).astype(np.int8) for b in sent.value)
+        rank = sum(common.in_bitmap(b, h).astype(np.int8) for b in frequent.value)
         return h[np.lexsort((h, rank))[: len(h) - -(-PART * len(h) // WHOLE) + 1]]
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text"):
-                found = [shingles_of(t or b"", shingle) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                found = [simhash.shingle_hashes(t or b"", shingle) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 keep = [k for k, h in enumerate(found) if len(h)]
                 ids, versions = (part.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "version"))
-                held = [found[k] for k in keep]
+                prints = np.array([simhash.voted(found[k]) for k in keep], np.uint64).view(np.int64)
+                held = [np.unique(found[k]) for k in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, versions, pa.array([set_id(h) for h in held], pa.int64()), pa.array([len(h) for h in held], pa.int32()), lists([first(h) for h in held]),
+                    [ids, versions, pa.array([set_id(h) for h in held], pa.int64()), pa.array(prints, pa.int64()), pa.array([len(h) for h in held], pa.int32()), lists([first(h) for h in held]),
                      lists([bucket_counts(h) for h in held]).cast(pa.list_(pa.int32()))],
-                    ["doc_id", "version", "sig", "n", "prefix", "counts"],
+                    ["doc_id", "version", "sig", "fp", "n", "prefix", "counts"],
                 )
 
-    return docs.mapInArrow(common.frugal(run), "doc_id long, version int, sig long, n int, prefix array<long>, counts array<int>")
+    return docs.mapInArrow(common.frugal(run), "doc_id long, version long, sig long, fp long, n int, prefix array<long>, counts array<int>")
 
 
 def long_enough(n: Column, m: Column) -> Column:
@@ -121,66 +114,85 @@ def long_enough(n: Column, m: Column) -> Column:
 
 def alike(pairs: DataFrame, one: DataFrame, docs: DataFrame, shingle: int, doc_bits: int) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is high enough."""
-    left, right = (one.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}")) for k in "ab")
-    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    possible = pairs.join(left, "a").join(right, "b").where(WHOLE * most >= PART * (F.col("n_a") + F.col("n_b") - most))
-    pairs = common.stored(possible.select("a", "b"), "possible")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    needed = common.stored(needed.join(one.select("sig", "version"), "sig"), "needed")
-    sent = docs.sparkSession.sparkContext.broadcast(common.bitmap_of(needed.select(F.col("version").cast("long").alias("key")), "key", doc_bits))
-
-    def run(batches):
-        for batch in batches:
-            versions = np.asarray(batch.column("version").cast(pa.int64()).fill_null(0)).view(np.uint64)
-            for part in common.slices(batch.filter(pa.array(common.in_bitmap(sent.value, versions))), "text"):
-                found = [h for t in part.column("text").cast(pa.binary()).to_pylist() if len(h := shingles_of(t or b"", shingle))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in found], pa.int64()), lists(found)], ["sig", "hashes"])
-
-    sets = docs.select("version", "text").mapInArrow(common.frugal(run), "sig long, hashes array<long>").join(needed.select("sig"), "sig", "left_semi")
-    sets = common.stored(sets.groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets")
-    left, right = (sets.select(F.col("sig").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "ab")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(WHOLE * both >= PART * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
-
-
-def classes(docs: DataFrame, shingle: int = 5, bits: int = 1 << 24) -> DataFrame:
-    """(doc_id, version, component_id) for each row with words: the smallest doc_id of its class."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash("text").alias("version")).where("text IS NOT NULL")
-    rows = common.stored(marked(known, shingle, bits), "marked")
-    one = common.stored(
-        rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("version").alias("version"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")), "sets"
-    )
+    spark = docs.sparkSession
+    with common.passing(spark):
+        left, right = (one.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}")) for k in "ab")
+        most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        possible = pairs.join(left, "a").join(right, "b").where(WHOLE * most >= PART * (F.col("n_a") + F.col("n_b") - most))
+        pairs = common.stored(possible.select("a", "b"), "possible")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        needed = common.stored(needed.join(one.select("sig", "version"), "sig"), "needed")
+        bitmap = common.sent(spark, common.bitmap_of(needed.select(F.col("version").alias("key")), "key", doc_bits))
+
+        def run(batches):
+            for batch in batches:
+                versions = np.asarray(batch.column("version")).view(np.uint64)
+                for part in common.slices(batch.filter(pa.array(common.in_bitmap(bitmap.value, versions))), "text"):
+                    found = [h for t in part.column("text").cast(pa.binary()).to_pylist() if len(h := shingles_of(t or b"", shingle))]
+                    yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in found], pa.int64()), lists(found)], ["sig", "hashes"])
+
+        sets = docs.select("version", "text").mapInArrow(common.frugal(run), "sig long, hashes array<long>").join(needed.select("sig"), "sig", "left_semi")
+        sets = common.stored(sets.groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets")
+        left, right = (sets.select(F.col("sig").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "ab")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        met = pairs.join(left, "a").join(right, "b")
+        return common.stored(met.where(WHOLE * both >= PART * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"), "alike", outlives=True)
+
+
+def fingerprint_pairs(one: DataFrame, radius: int) -> DataFrame:
+    """(a, b): sets whose fingerprints are the same or linked, each met through the smallest set of its fingerprint."""
+    heads = common.stored(one.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
+    own = one.join(heads, "fp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    left, right = (heads.select(F.col("fp").alias(k), F.col("head").alias(f"head_{k}")) for k in "ab")
+    linked = simhash.links(heads.select("fp"), radius).distinct().join(left, "a").join(right, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return own.unionByName(linked)
+
+
+def classes(docs: DataFrame, shingle: int = 5, radius: int = 2, bits: int = 1 << 24) -> DataFrame:
+    """(doc_id, version, component_id) for each row with words: the smallest doc_id of its class. It is to be used within the open scope."""
+    spark = docs.sparkSession
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_hash().alias("version")).where("text IS NOT NULL")
+    with common.passing(spark):
+        marks = common.stored(marked(known, shingle, bits), "marked")
+        one = common.stored(
+            marks.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("version").alias("version"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")),
+            "sets", outlives=True,
+        )
+        rows = common.stored(marks.select("doc_id", "version", "sig"), "rows", outlives=True)
     tokens = one.select("sig", "n", F.explode("prefix").alias("token"))
     same = Window.partitionBy("token")
     met = tokens.select("*", F.count(F.lit(1)).over(same).alias("size"), F.min(F.struct("sig", "n")).over(same).alias("head"))
     shared = common.stored(met.where("size > 1").drop("size"), "shared")
 
     to_head = shared.where((F.col("sig") != F.col("head.sig")) & long_enough(F.col("n"), F.col("head.n")))
-    to_head = common.stored(to_head.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
-    near = common.stored(alike(to_head, one, known, shingle, bits), "alike")
-
-    found = simhash.components(near)
-    held = shared.join(found, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("class"))
-    mixed = held.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    held = common.stored(held.join(mixed, "token", "left_semi"), "held")
-    x, y = (held.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "class"))) for k in "ab")
-    across = x.join(y, "token").where((F.col("sig_a") < F.col("sig_b")) & (F.col("class_a") != F.col("class_b")) & long_enough(F.col("n_a"), F.col("n_b")))
-    across = across.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct().join(to_head, ["a", "b"], "left_anti")
-    rest = alike(common.stored(across, "pairs"), one, known, shingle, bits)
+    to_head = to_head.select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).unionByName(fingerprint_pairs(one, radius))
+    to_head = common.stored(to_head.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    near = alike(to_head, one, known, shingle, bits)
+
+    with common.passing(spark):
+        found = simhash.components(near)
+        held = shared.join(found, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("class"))
+        mixed = held.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+        held = common.stored(held.join(mixed, "token", "left_semi"), "held")
+        x, y = (held.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "class"))) for k in "ab")
+        across = x.join(y, "token").where((F.col("sig_a") < F.col("sig_b")) & (F.col("class_a") != F.col("class_b")) & long_enough(F.col("n_a"), F.col("n_b")))
+        across = across.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct().join(to_head, ["a", "b"], "left_anti")
+        across = common.stored(across, "pairs", outlives=True)
+    rest = alike(across, one, known, shingle, bits)
 
     found = simhash.components(near.unionByName(rest))
     roots = one.join(found, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "version", "sig").join(roots.select("sig", "root").join(named, "root"), "sig").select("doc_id", "version", "component_id")
+    return rows.join(roots.select("sig", "root").join(named, "root"), "sig").select("doc_id", "version", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their class. Rows without a doc_id or without words all stay."""
-    gone = classes(docs, shingle).where("doc_id IS NOT NULL AND component_id < doc_id").select("doc_id", "version", F.lit(True).alias("gone")).distinct()
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def answer(part: pa.RecordBatch, gone: list) -> pa.RecordBatch:
         return part.filter(pa.array([not g for g in gone], pa.bool_()))
 
-    return bydoc.answered(docs, gone, "gone", answer, shape)
+    with common.passing(docs.sparkSession):
+        gone = classes(docs, shingle, radius).where("doc_id IS NOT NULL AND component_id < doc_id").select("doc_id", "version", F.lit(True).alias("gone")).distinct()
+        return bydoc.answered(docs, gone, "gone", answer, shape)

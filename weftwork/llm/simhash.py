@@ -30,30 +30,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import bydoc, common
+from weftwork.llm import common
 
 QUARTERS = 4
 WIDTH = 17  # population counts of 16 bits: 0 to 16
 
 
-def fingerprint_of(text: bytes, shingle: int = 3) -> int:
-    """SimHash over the XXH64 (seed 42) of word shingles; bytes.lower() changes A-Z only."""
+def shingle_hashes(text: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; bytes.lower() changes A-Z only."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # for bytes: the ASCII white space 09-0D and 20
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - shingle + 1
-    hashes = np.fromiter(
+    return np.fromiter(
         [xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)],
         np.uint64, n,
     )
-    counts = np.zeros(64, np.int64)
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero for none."""
+    counts, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 14):  # bounded memory for very long texts
         part = hashes[at : at + (1 << 14)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -61,8 +65,13 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of(text: bytes, shingle: int = 3) -> int:
+    """SimHash over the hashes of the word shingles."""
+    return voted(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, version, fp long): one row for each row of docs; version is hash(text)."""
+    """(doc_id, version, fp long): one row for each row of docs; version is common.text_hash."""
 
     def run(batches):
         for batch in batches:
@@ -71,8 +80,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 found = np.array([fingerprint_of(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(found, pa.int64())], ["doc_id", "version", "fp"])
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash("text").alias("version"))
-    return known.mapInArrow(common.frugal(run), "doc_id long, version int, fp long")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_hash().alias("version"))
+    return known.mapInArrow(common.frugal(run), "doc_id long, version long, fp long")
 
 
 def tile_of(fp: Column) -> Column:
@@ -186,7 +195,7 @@ def compare_blocks(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, block: int = 2048, most_tasks: int = 20_000) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp``; their classes are those of all pairs within the radius."""
     tiled = distinct.select("fp", tile_of(F.col("fp")).alias("tile"))
     # At most WIDTH ** QUARTERS = 83,521 rows, whatever the input: small enough to send to all.
@@ -205,7 +214,9 @@ def links(distinct: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
         .select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("visitor"), "fp")
     )
     rows = at_home.unionByName(within).unionByName(abroad)
-    return rows.repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor").mapInArrow(common.frugal(compare_blocks(radius)), "a long, b long")
+    # A partition for each full block's worth of fingerprints: by their bytes, blocks look smaller than their work is.
+    tasks = max(1, min(most_tasks, -(-distinct.count() // block)))
+    return rows.repartition(tasks, "tile", "part").sortWithinPartitions("tile", "part", "visitor").mapInArrow(common.frugal(compare_blocks(radius)), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -214,15 +225,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds. Each round is joins and grouped minima on
     node keys; only one number, whether the edges changed, comes to the driver.
     """
+    spark = edges.sparkSession
     now = common.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = common.stored(small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        with common.passing(spark):
+            both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u <> v").distinct()
+            low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            after = common.stored(small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", outlives=True)
         total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
         if now.agg(F.count(F.lit(1)), total).first() == after.agg(F.count(F.lit(1)), total).first():
             break
@@ -234,6 +247,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
 
 
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: int = 2048) -> DataFrame:
+    """doc_id, version, fp, component_id: the smallest doc_id that links reach; one row for each row of docs."""
+    marked = common.stored(fingerprints(docs, shingle), "fingerprints")
+    with common.passing(docs.sparkSession):
+        distinct = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        found = components(links(distinct, radius, block))
+        roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_fp = common.stored(roots.join(named, "root").select("fp", "component_id"), "classes", outlives=True)
+    return marked.join(by_fp, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: int = 2048) -> DataFrame:
     """doc_id, version, fp, component_id: the smallest doc_id that links reach; one row for each row of docs."""
     marked = common.stored(fingerprints(docs, shingle), "fingerprints")
@@ -245,18 +270,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: i
     return marked.join(common.stored(by_fp, "classes"), "fp")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their class. Rows without a doc_id all stay."""
-    gone = near_duplicates(docs, radius, shingle).where("doc_id IS NOT NULL AND version IS NOT NULL AND component_id < doc_id")
-    gone = gone.select("doc_id", "version", F.lit(True).alias("gone")).distinct()
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def answer(part: pa.RecordBatch, gone: list) -> pa.RecordBatch:
-        return part.filter(pa.array([not g for g in gone], pa.bool_()))
-
-    return bydoc.answered(docs, gone, "gone", answer, shape)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return near_duplicates(docs).select(

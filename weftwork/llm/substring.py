@@ -171,7 +171,7 @@ def extended_rows(docs: DataFrame, length: int, seeds) -> DataFrame:
                     ["anchor", "around", "doc_id", "version", "start", "n"],
                 )
 
-    return docs.mapInArrow(common.frugal(run), "anchor long, around long, doc_id long, version int, start int, n int")
+    return docs.mapInArrow(common.frugal(run), "anchor long, around long, doc_id long, version long, start int, n int")
 
 
 def window_rows(docs: DataFrame, length: int, sent) -> DataFrame:
@@ -201,7 +201,7 @@ def window_rows(docs: DataFrame, length: int, sent) -> DataFrame:
                     ["anchor", "around", "doc_id", "version", "start", "n"],
                 )
 
-    return docs.mapInArrow(common.frugal(run), "anchor long, around long, doc_id long, version int, start int, n int")
+    return docs.mapInArrow(common.frugal(run), "anchor long, around long, doc_id long, version long, start int, n int")
 
 
 def firsts(rows: DataFrame) -> DataFrame:
@@ -220,15 +220,15 @@ def repeats(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> Data
         raise ValueError(f"length is {GRAM} words at least")
     spark = docs.sparkSession
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("version")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", common.text_hash().alias("version")
     )
     shared = anchor_rows(known, length).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    seeds = spark.sparkContext.broadcast(common.bitmap_of(shared, "anchor", seed_bits))
+    seeds = common.sent(spark, common.bitmap_of(shared, "anchor", seed_bits))
     extended = common.stored(extended_rows(known, length, seeds), "extended")
     first = common.stored(firsts(extended), "firsts")
     several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 AND lo < hi")
     met_first = first.select(F.col("anchor").bitwiseXOR(F.col("around")).bitwiseXOR(F.col("lo")).alias("key"))
-    edges = spark.sparkContext.broadcast((common.bitmap_of(several, "anchor", seed_bits), common.bitmap_of(met_first, "key", seed_bits)))
+    edges = common.sent(spark, (common.bitmap_of(several, "anchor", seed_bits), common.bitmap_of(met_first, "key", seed_bits)))
     windows = window_rows(known, length, edges)  # made twice, which costs less than to keep them
     found = later_than_first(extended.where(F.col("n") >= length), first).unionByName(later_than_first(windows, firsts(windows)))
     return found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -248,9 +248,12 @@ def kept_words(text: bytes | None, spans: list[dict] | None) -> tuple[int, int,
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> DataFrame:
-    """The rows of docs with n_words, n_removed and kept (the words that stay, joined by one space) added."""
-    fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
+def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26, added: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """The rows of docs with the number of words, of removed words, and the words that stay, joined by one space.
+
+    ``added`` names the three; columns of docs with these names are replaced.
+    """
+    fields = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in added}]
     names = [f.name for f in fields]
 
     def answer(part: pa.RecordBatch, spans: list) -> pa.RecordBatch:
@@ -258,11 +261,12 @@ def cut(docs: DataFrame, length: int = 13, seed_bits: int = 1 << 26) -> DataFram
         return pa.RecordBatch.from_arrays(
             [*(part.column(n) for n in names), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
              pa.array([f[2] for f in found], pa.binary()).cast(pa.string())],
-            [*names, "n_words", "n_removed", "kept"],
+            [*names, *added],
         )
 
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept string"])
-    return bydoc.answered(docs.select(*names), repeats(docs, length, seed_bits), "spans", answer, shape)
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{added[0]}` long, `{added[1]}` long, `{added[2]}` string"])
+    with common.passing(docs.sparkSession):
+        return bydoc.answered(docs.select(*names), repeats(docs, length, seed_bits), "spans", answer, shape)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
