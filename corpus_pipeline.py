@@ -1,27 +1,29 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 1. language_id: texts without a letter, or of no language with some certainty, go.
-2. simhash_near_dedup: of each class of fingerprints within 2 bits the smallest doc_id stays.
-3. near_copies: of each class of texts with a Jaccard similarity of 0.8 and more over
-   five-word shingles the smallest doc_id stays.
-4. substring_dedup: passages of 13 words and more that an earlier document has go,
+2. simhash_near_dedup: of each class of texts with a Jaccard similarity of 0.8 and
+   more over five-word shingles the smallest doc_id stays. SimHash fingerprints link
+   the closest; an exact prefix join finds the others.
+3. substring_dedup: passages of 13 words and more that an earlier document has go,
    and with them documents of which nothing is left.
-5. pii: personal data and terms that disclose it are generalised or removed.
-6. best_fit_packing: the texts become sequences of 2048 tokens.
-
-All stages but the last return the columns of documents; ``n_chars`` follows the
-text. An empty input gives an empty output at every stage.
+4. pii: personal data, keys, and terms that disclose persons are generalised or removed.
+5. best_fit_packing: the texts become sequences of 2048 tokens.
+
+All stages but the last return the columns of documents, whatever their names: what a
+stage works with gets other names. ``n_chars`` follows the text. An empty input gives
+an empty output at every stage. Rows without a text go in the first stage. Ties are
+broken by doc_id; repeated rows (one doc_id, one text) stay or go together, and rows
+without a doc_id are no copies of others for the stages 2 and 3, though others may be
+copies of them.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, langid, near, packing, pii, simhash, substring
+from weftwork.llm import bydoc, common, langid, near, packing, pii, substring
 
 #: Below this calibrated probability a document counts as of no known language.
 LEAST_CERTAINTY = 0.4
@@ -34,25 +36,22 @@ def sized(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.modest(spark)
     model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
-    marked = langid.identify(docs, model)
-    return marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAINTY)).select(*docs.columns)
+    lang, score = (bydoc.fresh(docs.columns, stem) for stem in ("lang_pred", "score"))
+    marked = langid.identify(docs, model, (lang, score))
+    return marked.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_CERTAINTY)).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.modest(spark)
-    return simhash.one_of_each(docs)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.modest(spark)
     return near.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.modest(spark)
-    cut = substring.cut(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return sized(left.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns))
+    words, removed, kept = (bydoc.fresh(docs.columns, stem) for stem in ("n_words", "n_removed", "kept"))
+    cut = substring.cut(docs, added=(words, removed, kept))
+    left = cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    return sized(left.withColumn("text", F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))).select(*docs.columns))
 
 
 def pii_sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +67,6 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("language_id", language_id),
     ("simhash_near_dedup", simhash_near_dedup),
-    ("near_copies", near_copies),
     ("substring_dedup", substring_dedup),
     ("pii", pii_sanitise),
     ("best_fit_packing", best_fit_packing),
@@ -79,9 +77,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    folder = f"{common.scratch(spark)}/weftwork-{uuid.uuid4().hex}"
+    """The stages one after another. A stage's input and its intermediate tables go when its output is written; the last output stays."""
+    docs, before = common.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        folder = common.fresh_folder(spark)
+        with common.passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.deleted(spark, before)
+        before = folder
     return docs
