@@ -62,7 +62,7 @@ def test_loser_tree(k):
 
 
 def test_damage_is_seen():
-    raw = warc.record(1, "http://a/", b"payload", warc.payload_digest(b"payload"), None, False)
+    raw = warc.record(1, "http://a/", b"payload", 7, warc.payload_digest(b"payload"))
     assert warc.parsed(raw).payload == b"payload"
     with pytest.raises(ValueError):
         warc.parsed(raw.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n"))

@@ -83,6 +83,7 @@ def passing(spark: SparkSession):
                 deleted(spark, x)
             else:
                 x.destroy()
+        given_back()
 
 
 def _made(x, outlives: bool) -> None:
@@ -173,14 +174,19 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            given_back()
 
     return runs
 
 
+def given_back() -> None:
+    """Give unused memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads nearby values (the splitmix64 finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -13,8 +13,10 @@ Because TF is a share, a document's scores are the mean of its n-grams' rows of
 one pass without a shuffle. The model is ``buckets`` times languages floats.
 
 The classifier is fitted on a bounded sample: at most ``sample_rows`` documents
-for each language, those with the smallest hash of their doc_id (documented
-bound). The document frequencies cover every learnable document.
+for each language, those with the smallest hash of doc_id and text (documented
+bound; repeated rows count once). Their n-grams are counted in the tasks; the
+driver gets buckets and counts, at most ``buckets`` of them a document, and no
+text. The document frequencies cover every learnable document.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every document when there is nothing to learn from; a null doc_id is never
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm import common
@@ -115,14 +117,37 @@ def document_frequencies(docs: DataFrame, config: LangidConfig) -> tuple[np.ndar
     return found, total
 
 
-def features(text: str, config: LangidConfig) -> tuple[np.ndarray, np.ndarray]:
-    """A text's buckets and their scaled shares."""
+def gram_counts(text: str, config: LangidConfig) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets and their counts."""
     points = cleaned(text)
     counts = np.zeros(config.buckets, np.int64)
     for at in range(0, len(points), PIECE):
         counts += np.bincount(gram_buckets(points[at : at + PIECE + config.longest - 1], config), minlength=config.buckets)
     at = np.flatnonzero(counts)
-    return at, counts[at] * config.scale / max(1, counts.sum())
+    return at.astype(np.int32), counts[at]
+
+
+def sample(known: DataFrame, sizes: dict[str, int], config: LangidConfig) -> DataFrame:
+    """(lang, h, at, counts): the n-grams of at most ``sample_rows`` texts a language, in the order of h."""
+    # A share of each language by hash, then a strict bound among the few that it leaves.
+    limit = F.lit(0.0)
+    for lang, n in sizes.items():
+        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, config.sample_rows / n))).otherwise(limit)
+    by_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
+    share = F.pmod(by_hash, F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                found = [gram_counts(t, config) for t in part.column("text").to_pylist()]
+                at, counts = (pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int64())))
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), at, counts], ["lang", "h", "at", "counts"])
+
+    picked = known.where(share < limit).select("lang", by_hash.alias("h"), "text")
+    grams = picked.mapInArrow(common.frugal(run), "lang string, h long, at array<int>, counts array<long>")
+    once = grams.groupBy("lang", "h").agg(F.first("at").alias("at"), F.first("counts").alias("counts"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= config.sample_rows).orderBy("h", "lang").select("lang", "h", "at", "counts")
 
 
 class Ftrl:
@@ -207,28 +232,22 @@ def train(labelled: DataFrame, config: LangidConfig = LangidConfig()) -> LangidM
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     frequency, total = document_frequencies(known, config)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    by_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
-    # A share of each language by hash, then a strict bound: no window over a language's rows.
-    limit = F.lit(0.0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, config.sample_rows / n))).otherwise(limit)
-    share = F.pmod(by_hash, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.where(share < limit).select("text", "lang", by_hash.alias("h"), F.length("text").alias("size"), F.col("doc_id"))
-    rows = picked.orderBy("h", "doc_id", "lang").limit(2 * config.sample_rows * max(1, len(languages))).collect()
     number = {lang: k for k, lang in enumerate(languages)}
     learnt, apart = [], []
-    for k, r in enumerate(rows):
-        at, tf = features(r["text"], config)
+    rows = sample(known, sizes, config).toArrow()
+    for k, (lang, at, counts) in enumerate(zip(rows["lang"].to_pylist(), *(rows[c].combine_chunks() for c in ("at", "counts")), strict=True)):
         if len(at):
-            (apart if k % config.apart == 0 else learnt).append((at, tf * idf[at], number[r["lang"]]))
+            at, counts = np.asarray(at.values), np.asarray(counts.values)
+            (apart if k % config.apart == 0 else learnt).append((at, (counts * (config.scale / counts.sum()) * idf[at]).astype(np.float32), number[lang]))
     model = Ftrl(config.buckets, len(languages), config)
     for epoch in range(config.epochs):
         for k in np.random.default_rng(epoch).permutation(len(learnt)):
             model.learn(*learnt[k])
     weights = model.weights(slice(None)) if languages else np.zeros((config.buckets, 0))
     scores = np.array([x @ weights[at] for at, x, _ in apart]) if apart else np.zeros((0, len(languages)))
+    common.given_back()
     t = temperature(scores, np.array([label for _, _, label in apart], np.int64))
     return LangidModel(languages if learnt else [], np.ascontiguousarray(idf[:, None] * weights / t), config)
 

@@ -16,9 +16,10 @@ where n(e,t) counts the documents that have t within ``reach`` words of e. It is
 document of the corpus that has it. The query and the pipeline ask for no such
 support (``ALL_PAIRS``): their thresholds alone decide, for rare entities too.
 
-Three passes read the texts; none deals them out. n(t) is at least the number of
-documents that have t beside some entity, which the first pass gives; only terms
-that this bound lets reach a threshold are counted over the corpus. Which words
+Few passes read the texts; none deals them out. n(t) is at least the number of
+documents that have t beside some entity, and at least the number that have it in
+an eighth of the corpus. Only terms that these bounds let reach a threshold are
+counted over the whole corpus: the bounds spare counting, they decide nothing. Which words
 to count, and which to look up, goes to the tasks as a bitmap of a fixed size; its
 false answers fall away in exact joins on the term. Words are lower-cased one by
 one everywhere, so one that grows by it is the same word in all passes.
@@ -74,6 +75,9 @@ class PiiConfig:
     bits: int = 1 << 23
 
 
+#: One text of so many gives a lower bound of the counts of terms.
+BOUND_PART = 8
+
 #: Every pair of an entity and a term counts, however few documents have it.
 ALL_PAIRS = PiiConfig(least_documents=1)
 
@@ -296,8 +300,15 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, config: PiiConfig) -> Da
     # The slack keeps what the bound and the final value round differently; the final value decides.
     able = pairs.where("term <> ''").join(of_entity, "entity").join(met, "term").where(disclosure("n_met") >= config.generalise - 1e-9)
     able = common.stored(able.select("term", "both", "n_entity"), "able")
-    bitmap = common.sent(docs.sparkSession, common.bitmap_of(able.select(F.xxhash64("term").alias("key")).distinct(), "key", config.bits))
-    of_term = document_counts(docs, bitmap).withColumnRenamed("n", "n_term")
+
+    def counted(some: DataFrame) -> DataFrame:
+        bitmap = common.sent(docs.sparkSession, common.bitmap_of(able.select(F.xxhash64("term").alias("key")).distinct(), "key", config.bits))
+        return document_counts(some, bitmap).withColumnRenamed("n", "n_term")
+
+    part = counted(docs.where(F.pmod(F.xxhash64("text"), F.lit(BOUND_PART)) == 0))
+    able = able.join(part, "term", "left").withColumn("n_term", F.coalesce("n_term", F.lit(1))).where(disclosure("n_term") >= config.generalise - 1e-9)
+    able = common.stored(able.select("term", "both", "n_entity"), "able")
+    of_term = counted(docs)
     return (
         able.join(of_term, "term").withColumn("disclosure", disclosure("n_term"))
         .groupBy("term").agg(F.max("disclosure").alias("disclosure"))

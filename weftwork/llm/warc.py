@@ -12,7 +12,7 @@ a loser tree merges the parts of all runs. Order over all is (part, position): t
 capture history of a URL, or of a host, lies together in time order, also where
 it is so long that several ranges share it.
 
-Scale: ranges are cut by the whole key, so one host or URL with a third of all
+Scale: payloads stay where they are read (see ``write_archives``). Ranges are cut by the whole key, so one host or URL with a third of all
 captures spreads over many ranges. A range holds index rows only, no payloads.
 A writer that is run again writes a file of another name; only files named in
 the stored manifest are read.
@@ -37,7 +37,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.llm import common
@@ -69,12 +69,13 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record. A revisit keeps the HTTP header, which tells the payload's length, and leaves out the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None = None) -> bytes:
+    """One WARC record; without a payload a revisit, which keeps the HTTP header that tells the payload's length."""
+    revisit = payload is None
     number = "" if page_id is None else str(page_id)
     when = (FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % 10**10)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload or b"")
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:weftwork:page:{number}>",
         f"WARC-Date: {when}", f"WARC-Target-URI: {(url or NO_URL).translate({10: '%0A', 13: '%0D'})}",
@@ -155,40 +156,86 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
 
 
-def with_first(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and the page that a revisit refers to (revisit false: it is the response)."""
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    known = known.withColumn("digest", F.sha1("html"))
-    # The grouped part of each digest is one row; the join deals texts out by digest, where AQE splits a hot one.
-    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return known.join(first, "digest")
+def light(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and what tells payloads apart: SHA-1, length and a second hash."""
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return known.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long"), "other": F.xxhash64("html")})
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """The manifest (file, records) of the archives; each partition writes one file."""
+PAYLOAD = ["digest", "size", "other"]
 
-    def run(batches):
+
+def revisits_of(pages: DataFrame) -> DataFrame:
+    """page_id, url, digest, size, other, first_id of the captures whose payload a smaller page_id has. No payload is dealt out."""
+    known = light(pages).select("page_id", "url", *PAYLOAD)
+    first = known.groupBy(*PAYLOAD).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    return known.join(first, PAYLOAD).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+
+
+def write_archives(pages: DataFrame, folder: str, bits: int = 1 << 23) -> DataFrame:
+    """The manifest (file, records) of the archives; each partition writes one file.
+
+    Revisits carry no payload, so they are written from their page_id, URL and
+    digest alone. A bitmap of them, of a fixed size, lets the other pages be
+    written where they are read; the few that it takes for revisits by mistake are
+    found by an exact join, and only they and their payloads are dealt out.
+    """
+    spark = pages.sparkSession
+    key = F.xxhash64("page_id", *PAYLOAD)
+    whole = light(pages).withColumn("key", key)
+
+    def write(batches, revisit: bool):
         out, name, n = None, f"{uuid.uuid4().hex}.warc.gz", 0
         fs, base = filesystem(folder)
-        for batch in batches:
-            for part in common.slices(batch, "html"):
-                for page_id, url, html, digest, first, copies in zip(
-                    *(part.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first_id", "copies")), strict=True
-                ):
-                    if out is None:
-                        fs.create_dir(base, recursive=True)
-                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    payload = html.encode()
-                    b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-                    raw = record(page_id, url, payload, b32, first, copies > 1 and page_id != first)
-                    pack = zlib.compressobj(5, wbits=31)
-                    out.write(pack.compress(raw) + pack.flush())
-                    n += 1
-        if out is not None:
-            out.close()
+        try:
+            for batch in batches:
+                for part in [batch] if revisit else common.slices(batch, "html"):
+                    for row in part.select(["page_id", "url", "digest", "size", "first_id" if revisit else "html"]).to_pylist():
+                        if out is None:
+                            fs.create_dir(base, recursive=True)
+                            out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                        b32 = base64.b32encode(bytes.fromhex(row["digest"])).decode()
+                        payload = None if revisit else row["html"].encode()
+                        raw = record(row["page_id"], row["url"], payload, row["size"], b32, row.get("first_id"))
+                        pack = zlib.compressobj(5, wbits=31)
+                        out.write(pack.compress(raw) + pack.flush())
+                        n += 1
+        finally:
+            if out is not None:
+                out.close()
+        if n:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return common.stored(with_first(pages).mapInArrow(common.frugal(run), "file string, records long"), "manifest")
+    shape = "file string, records long"
+    with common.passing(spark):
+        again = common.stored(revisits_of(pages), "revisits")
+        bitmap = common.sent(spark, common.bitmap_of(again.select(key.alias("key")), "key", bits))
+
+        def hit(batch: pa.RecordBatch, held) -> np.ndarray:
+            return common.in_bitmap(held, np.asarray(batch.column("key")).view(np.uint64))
+
+        def apart(batches):
+            yield from write((b.filter(pa.array(~hit(b, bitmap.value))) for b in batches), False)
+
+        def keys(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(hit(batch, bitmap.value)))
+
+        # Pages that the bitmap takes for revisits and that are none.
+        mistaken = whole.select("page_id", *PAYLOAD, "key").mapInArrow(common.frugal(keys), "page_id long, digest string, size long, other long, key long")
+        mistaken = common.stored(mistaken.join(again.select(key.alias("key")), "key", "left_anti").select("key").distinct(), "mistaken")
+        doubtful = common.sent(spark, common.bitmap_of(mistaken, "key", bits))
+
+        def through(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(hit(batch, doubtful.value)))
+
+        wide = "page_id long, url string, html string, digest string, size long, other long, key long"
+        rest = whole.mapInArrow(common.frugal(through), wide).join(mistaken, "key", "left_semi")
+        done = whole.mapInArrow(common.frugal(apart), shape)
+        done = done.unionByName(rest.mapInArrow(common.frugal(lambda b: write(b, False)), shape))
+        done = done.unionByName(again.mapInArrow(common.frugal(lambda b: write(b, True)), shape))
+        return common.stored(done, "manifest", outlives=True)
 
 
 INDEX = (
@@ -271,7 +318,7 @@ class LoserTree:
             self.winner = best
 
 
-def merged(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
+def merged(runs: DataFrame, range_rows: int = 50_000) -> DataFrame:
     """All index rows in one order: (part, position). The number of ranges grows with the rows, so a range stays small."""
     from pyspark import TaskContext
 
@@ -311,20 +358,31 @@ def merged(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
 
 def capture_index(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the archives of the pages, read them back, and merge their indexes."""
-    folder = folder or f"{common.scratch(pages.sparkSession)}/weftwork-{uuid.uuid4().hex}/warc"
+    folder = folder or f"{common.fresh_folder(pages.sparkSession)}/warc"
     manifest = write_archives(pages, folder)
     spread = manifest.repartition(max(1, pages.sparkSession.sparkContext.defaultParallelism * 2))
     return merged(capture_runs(spread, folder))
 
 
+def ranked(index: DataFrame) -> DataFrame:
+    """The merged index with capture_rank: the place of each capture in the order over all, from 1."""
+    held = common.stored(index, "index")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset_of"))
+    return held.join(offsets, "part").withColumn("capture_rank", (F.col("offset_of") + F.col("position") + 1).cast("long"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_index(common.read(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    return ranked(capture_index(common.read(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank"
     )
 
 
-OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+OP2_SQL = r"""
+WITH u AS (SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['host', 'path', 'query']) AS x FROM pages),
+ranks AS (SELECT page_id, row_number() OVER (ORDER BY array_to_string(list_reverse(string_split(regexp_replace(x.host, '^www\.', ''), '.')), ',') || ')' ||
+  CASE WHEN x.path = '' THEN '/' ELSE x.path END || CASE WHEN x.query = '' THEN '' ELSE '?' || x.query END, page_id) AS capture_rank FROM u),
+p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits,
   min(page_id) OVER (PARTITION BY html) AS first_id FROM p),
 fives AS (SELECT string_agg((i // 16 % 2)::VARCHAR || (i // 8 % 2) || (i // 4 % 2) || (i // 2 % 2) || (i % 2), ' ' ORDER BY i) AS all_fives FROM range(32) t(i))
@@ -332,6 +390,6 @@ SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     ((strpos(all_fives, substr(bits, (5 * k + 1)::BIGINT, 5)) - 1) // 6 + 1)::BIGINT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM d, fives
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, capture_rank
+FROM d JOIN ranks USING (page_id), fives
 """
