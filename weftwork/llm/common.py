@@ -25,14 +25,16 @@ BUCKET_BITS = 32_768
 
 #: Rows that go to a Python worker at once: texts are a few thousand bytes each, and both sides hold a batch.
 BATCH_ROWS = 2000
+BATCH_BYTES = 2 << 20
 
 
 def modest(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS where they are larger: memory of a task follows them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name))
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger: memory of a task follows them."""
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    held = int(spark.conf.get(rows))
     if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+        spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
