@@ -15,7 +15,7 @@ from weftwork.errors import SpecError
 from weftwork.model import DEFAULT_PLUGINS, TASK_SCHEMA, TaskFile, parse_file, task_row
 
 #: Names looked for in each folder, in this order. Projects with other names pass their own.
-FILE_NAMES = tuple(f"{stem}.{end}" for stem in ("Weftfile", "weftfile", "Weftfile.lock", "weftfile.lock") for end in ("yml", "yaml"))
+FILE_NAMES = tuple(f"{stem}{lock}.{end}" for lock in ("", ".lock") for end in ("yml", "yaml") for stem in ("Weftfile", "weftfile"))
 
 INCLUDE_OPTIONS = ("optional", "dir", "vars")
 
