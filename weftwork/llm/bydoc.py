@@ -61,7 +61,8 @@ def answered(
                 yield answer(part.select(names), part.column(fact_name).to_pylist())
 
     held = facts.select(F.col("doc_id").alias(id_name), F.col("version").alias(version_name), F.col(fact).alias(fact_name))
+    # Never a broadcast: with an exchange between them the two Python steps don't stand in one task with a worker each.
     joined = marked.mapInArrow(common.frugal(through), same).join(
-        held, (F.col("doc_id") == F.col(id_name)) & (common.text_hash() == F.col(version_name)), "left"
+        held.hint("merge"), (F.col("doc_id") == F.col(id_name)) & (common.text_hash() == F.col(version_name)), "left"
     ).drop(id_name, version_name)
     return marked.mapInArrow(common.frugal(apart), shape).unionByName(joined.mapInArrow(common.frugal(met), shape))
