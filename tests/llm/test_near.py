@@ -68,3 +68,10 @@ def test_nothing_is_left_behind(spark):
         assert near.one_of_each(frame(spark, near_rows())).count()
         assert len([x for x in set(folder.iterdir()) - before if x.name.startswith("weftwork-")]) == 1
     assert set(folder.iterdir()) == before
+
+
+def test_small_blocks_give_the_same_classes(spark):
+    docs = frame(spark, near_rows())
+    with common.passing(spark):
+        whole, small = ({(r["doc_id"], r["version"]): r["component_id"] for r in near.classes(docs, block=b).collect()} for b in (2048, 3))
+    assert whole == small

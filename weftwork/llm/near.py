@@ -14,7 +14,8 @@ many texts are compared, never which are found.
 Scale: texts with the same shingles meet first. In each group of texts that share
 a shingle all are compared with one of them, and those of different classes then
 with each other, so a large class costs a few rows for each text and not the
-square. Texts that share a rare shingle and are not alike are compared pair by pair.
+square. Texts that share a rare shingle and are not alike are compared pair by pair,
+in blocks in numpy by the counts of their buckets; only pairs that these leave become rows.
 Only the sets of texts to compare are dealt out.
 
 Defined cases: a text without words, or null, has no near copy and stays; words are
@@ -43,6 +44,9 @@ SAMPLE = 8
 #: Shingles are counted in so many buckets, by the hash.
 BUCKETS = 256
 
+#: So many of its first tokens, by value, go with a set, so that most pairs meet at one of the tokens that they share.
+FIRSTS = 8
+
 
 def shingles_of(text: bytes, shingle: int = 5) -> np.ndarray:
     """The distinct hashes of the word shingles, sorted."""
@@ -148,7 +152,71 @@ def fingerprint_pairs(one: DataFrame, radius: int) -> DataFrame:
     return own.unionByName(linked)
 
 
-def classes(docs: DataFrame, shingle: int = 5, radius: int = 2, bits: int = 1 << 24) -> DataFrame:
+class Members:
+    """Rows of one token's group that a batch holds."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.sig, self.n, self.label = (np.asarray(batch.column(c), np.int64) for c in ("sig", "n", "class"))
+        self.firsts = np.asarray(batch.column("firsts").flatten(), np.int64).reshape(-1, FIRSTS)
+        self.counts = np.asarray(batch.column("counts").flatten()).reshape(-1, BUCKETS)
+
+    def meet(self, other: Members, token: int) -> list[tuple[np.ndarray, int]]:
+        """Pairs of a row of these and one of the others (of these: an earlier one) that the bound leaves."""
+        found = []
+        for k in range(len(other.sig)):
+            n, firsts = other.n[k], other.firsts[k]
+            end = k if other is self else len(self.sig)
+            at = np.flatnonzero((self.label[:end] != other.label[k]) & (WHOLE * np.minimum(self.n[:end], n) >= PART * np.maximum(self.n[:end], n)))
+            if earlier := firsts[firsts < token].tolist():  # a pair meets at the first of its tokens that both rows tell
+                at = at[~np.isin(self.firsts[at], earlier).any(axis=1)]
+            most = np.minimum(self.counts[at], other.counts[k]).sum(axis=1)
+            at = at[WHOLE * most >= PART * (self.n[at] + n - most)]
+            if len(at):
+                found.append((self.sig[at], other.sig[k]))
+        return found
+
+
+def compare_members(batches):
+    """Over rows sorted by (token, part, visitor): each part's members against each other and its visitors."""
+    now, home = None, []
+    for batch in batches:
+        key = np.stack([np.asarray(batch.column(c), np.int64) for c in ("token", "part", "visitor")])
+        cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        found: list[tuple[np.ndarray, int]] = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s == e:
+                continue
+            token, part, visitor = key[:, s].tolist()
+            if (token, part) != now:
+                now, home = (token, part), []
+            members = Members(batch.slice(s, e - s))
+            for held in home if visitor else [*home, members]:
+                found += held.meet(members, token)
+            if not visitor:
+                home.append(members)
+        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+        b = np.repeat(np.array([y for _, y in found], np.int64), [len(x) for x, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def possible_pairs(held: DataFrame, one: DataFrame, rows_a_task: int = 4096, most_tasks: int = 20_000) -> DataFrame:
+    """(a, b): sets of different classes that share a token and that the counts of their buckets leave as possible.
+
+    held: (token, sig, n, class, parts), the members of each token in so many parts.
+    Parts meet in numpy, so no pair is a row but those that are left.
+    """
+    last = F.lit((1 << 63) - 1)
+    firsts = F.slice(F.concat(F.array_sort("prefix"), F.array_repeat(last, FIRSTS)), 1, FIRSTS)
+    full = held.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).join(one.select("sig", "counts", firsts.alias("firsts")), "sig")
+    columns = ["sig", "n", "class", "firsts", "counts"]
+    at_home = full.select("token", F.col("own").alias("part"), F.lit(0).alias("visitor"), *columns)
+    abroad = full.where("own > 0").select("token", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"), F.lit(1).alias("visitor"), *columns)
+    tasks = max(1, min(most_tasks, -(-held.count() // rows_a_task)))
+    dealt = at_home.unionByName(abroad).repartition(tasks, "token", "part").sortWithinPartitions("token", "part", "visitor")
+    return dealt.mapInArrow(common.frugal(compare_members), "a long, b long")
+
+
+def classes(docs: DataFrame, shingle: int = 5, radius: int = 2, bits: int = 1 << 24, block: int = 2048) -> DataFrame:
     """(doc_id, version, component_id) for each row with words: the smallest doc_id of its class. It is to be used within the open scope."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_hash().alias("version")).where("text IS NOT NULL")
@@ -172,11 +240,10 @@ def classes(docs: DataFrame, shingle: int = 5, radius: int = 2, bits: int = 1 <<
     with common.passing(spark):
         found = simhash.components(near)
         held = shared.join(found, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("class"))
-        mixed = held.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-        held = common.stored(held.join(mixed, "token", "left_semi"), "held")
-        x, y = (held.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "class"))) for k in "ab")
-        across = x.join(y, "token").where((F.col("sig_a") < F.col("sig_b")) & (F.col("class_a") != F.col("class_b")) & long_enough(F.col("n_a"), F.col("n_b")))
-        across = across.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).distinct().join(to_head, ["a", "b"], "left_anti")
+        of_token = held.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        mixed = of_token.where("low < high").select("token", "parts")
+        held = common.stored(held.join(mixed, "token"), "held")
+        across = possible_pairs(held, one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(to_head, ["a", "b"], "left_anti")
         across = common.stored(across, "pairs", outlives=True)
     rest = alike(across, one, known, shingle, bits)
 

@@ -259,17 +259,6 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: i
     return marked.join(by_fp, "fp")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: int = 2048) -> DataFrame:
-    """doc_id, version, fp, component_id: the smallest doc_id that links reach; one row for each row of docs."""
-    marked = common.stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct, radius, block))
-    roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(named, "root").select("fp", "component_id")
-    return marked.join(common.stored(by_fp, "classes"), "fp")
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return near_duplicates(docs).select(
