@@ -56,3 +56,24 @@ def test_fold_rows(spark):
     rows = [(1, "k", 0, "a"), (1, "k", 2, None), (1, "k", 1, "b"), (2, "k", 0, "c")]
     df = spark.createDataFrame(rows, "node long, key string, depth int, value string")
     assert {(r["node"], r["value"]) for r in scope.fold_rows(df).collect()} == {(1, "b"), (2, "c")}
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("{{ missing is defined }}{{ n is defined }}", "falsetrue"), ("{{ missing is undefined or n is odd }}", "true"), ("{{ n is not even }}", "true"),
+    ("{{ 9 is divisibleby(3) and s is starting_with('He') }}", "true"), ("{{ s is containing('z') }}", "false"), ("{{ s is matching('^H.*o$') }}", "true"),
+    ("{{ [1] is iterable and n is number and s is string }}", "true"), ("{{ n is strange }}", None), ("{{ s is odd }}", None),
+    ("{{ range(end=4, start=1) }}", "[1, 2, 3]"), ("{{ throw(message='no') }}", None), ("{{ get_env(name='NOT_SET_HERE', default='d') }}", "d"),
+    ("{{ get_env(name='NOT_SET_HERE') }}", None), ("{{ now(timestamp=true) > 1600000000 }}", "true"), ("{{ get_random(start=3, end=4) }}", "3"),
+    ("{{ range(wrong=1) }}", None), ("{{ 0 | date }} {{ '2024-03-01T10:00:00' | date(format='%d.%m. %H') }}", "1970-01-01 01.03. 10"), ("{{ 'x' | date }}", None),
+    ("{{ 'Ünder the Sea!' | slugify }}", "under-the-sea"), ("{{ '<b>x</b>' | striptags }}", "x"), ("{{ '<a/>&' | escape }}", "&lt;a&#x2F;&gt;&amp;"),
+    ("{{ 'a b/c' | urlencode }}", "a%20b/c"), ("{{ '//x//' | trim_start_matches(pat='/') | trim_end_matches(pat='/') }}", "x"),
+    ("{{ 1 | pluralize }}{{ 2 | pluralize }}", "s"), ("{{ 2048 | filesizeformat }}", "2 KiB"), ("{{ rows | map(attribute='a') }}", "[1, 2]"),
+    ("{{ rows | filter(attribute='b.c', value='y') | length }}", "1"), ("{{ rows | group_by(attribute='b.c') | json_encode }}", '{"x":[{"a":1,"b":{"c":"x"}}],"y":[{"a":2,"b":{"c":"y"}}]}'),
+])
+def test_tests_functions_and_filters(text, expected):
+    values = {"n": 3, "s": "Hello", "rows": [{"a": 1, "b": {"c": "x"}}, {"a": 2, "b": {"c": "y"}}]}
+    if expected is None:
+        with pytest.raises(TemplateError):
+            template.render(text, values)
+    else:
+        assert template.render(text, values) == expected

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftwork.errors import PlanError
-from weftwork.operators import changes, graph, predicates, runs
+from weftwork.operators import changes, graph, predicates, resolve, runs
 
 
 def frames(spark, nodes, edges):
@@ -100,3 +100,43 @@ def test_change_detection(spark, tmp_path, strategy):
     assert not other[0]
     state.clear()
     assert check()[0]
+
+
+@pytest.mark.parametrize("strategy", ["hash", "timestamp"])
+def test_nested_globs(spark, tmp_path, strategy):
+    for name in ("a.rs", "x/b.rs", "x/y/c.rs", "x/y/d.txt", "z/b.rs"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+
+    def names(pattern):
+        return sorted(r["path"].split(f"{tmp_path}/")[1] for r in changes.scan(spark, [f"{tmp_path}/{pattern}"], strategy).collect())
+
+    assert names("**/*.rs") == ["a.rs", "x/b.rs", "x/y/c.rs", "z/b.rs"]
+    assert names("x/**") == ["x/b.rs", "x/y/c.rs", "x/y/d.txt"]
+    assert names("x/**/[!d].*") == ["x/b.rs", "x/y/c.rs"]
+    assert names("*/b.rs") == ["x/b.rs", "z/b.rs"]
+    assert names("none/**/*.rs") == []
+    state = changes.StateTable(spark, str(tmp_path / "state"))
+    state.commit(strategy, "t", changes.scan(spark, [f"{tmp_path}/**/*.rs"], strategy))
+    assert not changes.is_changed(spark, state, "t", [f"{tmp_path}/**/*.rs"], strategy)[0]
+    (tmp_path / "x/y/c.rs").unlink()
+    assert changes.is_changed(spark, state, "t", [f"{tmp_path}/**/*.rs"], strategy)[0]
+
+
+def test_cycle_nodes_and_dependents(spark):
+    nodes, edges = frames(spark, "ABCDE", [("A", "B"), ("B", "C"), ("C", "B"), ("C", "D"), ("A", "E")])
+    assert sorted(r["id"] for r in graph.cycle_nodes(nodes, edges).collect()) == ["B", "C", "D"]
+    assert sorted(r["dst"] for r in graph.dependents(nodes.where("id = 'A'"), edges).collect()) == ["B", "E"]
+    assert graph.node_count(nodes.union(nodes)).first()["n"] == 5
+
+
+def test_dependencies_by_name_and_wildcard(spark):
+    catalog = spark.createDataFrame([("a",), ("n:a",), ("n:b",), ("n:m:c",)], "path string")
+    names = spark.createDataFrame([("a",), ("n:*",), ("n:**",), ("*",), ("**",), ("gone",)], "name string")
+    found = {}
+    for r in resolve.dependencies(names, "name", catalog).collect():
+        found.setdefault(r["name"], []).append(r["path"])
+    assert {k: sorted(v) for k, v in found.items()} == {
+        "a": ["a"], "n:*": ["n:a", "n:b"], "n:**": ["n:a", "n:b", "n:m:c"], "*": ["a"], "**": ["a", "n:a", "n:b", "n:m:c"],
+    }
+    assert resolve.find(catalog, ":a").count() == 0 and resolve.find(catalog, ":a", ("n",)).count() == 1

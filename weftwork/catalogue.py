@@ -70,6 +70,14 @@ def unresolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.unresolved(references, "name", table(spark, sf_dir, "labels"), "doc_id").select(F.col("name").alias("doc_id"), "source")
 
 
+def dep_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations name the tasks right below them, regions all below, and some customers one task."""
+    nations, tasks = _nations(spark, sf_dir), _namespaces(spark, sf_dir)
+    regions = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(":**")).alias("name"))
+    names = nations.select(F.concat("path", F.lit(":*")).alias("name")).unionByName(regions).unionByName(tasks.where("path LIKE '%7'").select(F.col("path").alias("name")))
+    return resolve.dependencies(names, "name", tasks).select("name", "path")
+
+
 def _dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
@@ -80,6 +88,23 @@ def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_degree(*_dag(spark, sf_dir))
 
 
+def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
+    return graph.dependents(done, _dag(spark, sf_dir)[1])
+
+
+def node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_count(_dag(spark, sf_dir)[0])
+
+
+def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation before one other."""
+    nation = table(spark, sf_dir, "nation")
+    after = (F.col("n_nationkey") * F.col("n_nationkey") + 1) % 25
+    edges = nation.select(F.col("n_nationkey").cast("long").alias("src"), after.cast("long").alias("dst"))
+    return graph.cycle_nodes(edges.select(F.col("src").alias("id")), edges)
+
+
 def ready_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ready(*_dag(spark, sf_dir))
 
@@ -189,7 +214,7 @@ def graph_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    catalog_list, find_any_depth, find_one_level, find_exact, platform_filter, internal_filter, unresolved_names, in_degree, ready_set, chain_edges, topo_level,
+    catalog_list, find_any_depth, find_one_level, find_exact, platform_filter, internal_filter, unresolved_names, dep_resolve, in_degree, dependents, node_count, cycle_nodes, ready_set, chain_edges, topo_level,
     run_once, run_changed, source_hash, source_changed, source_mtime, preconditions, scope_fold, env_default, value_typing, dep_results, dup_dep_names,
     output_join, template_render, ignore_error, summary, graph_dump,
 )
@@ -209,6 +234,12 @@ ORACLE = {
         OR (doc_id % 4 = 2 AND source = 'src3') OR (doc_id % 4 = 3 AND lang = 'en' AND source = 'src3')""",
     "internal_filter": "SELECT p_partkey, p_name FROM part WHERE p_size > 40 OR p_size % 2 <> 0",
     "unresolved_names": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "dep_resolve": f"""WITH t AS ({_TASKS}) SELECT split_part(path, ':', 1) || ':' || split_part(path, ':', 2) || ':*' AS name, path FROM t
+        UNION ALL SELECT split_part(path, ':', 1) || ':**', path FROM t UNION ALL SELECT path, path FROM t WHERE path LIKE '%7'""",
+    "dependents": "SELECT DISTINCT l_partkey AS src, l_orderkey AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1",
+    "node_count": "SELECT count(DISTINCT o_orderkey) AS n FROM orders",
+    "cycle_nodes": """WITH RECURSIVE w(k, id) AS (SELECT 0, n_nationkey::BIGINT FROM nation UNION ALL SELECT k + 1, (id * id + 1) % 25 FROM w WHERE k < 25)
+        SELECT DISTINCT id FROM w WHERE k = 25""",
     "in_degree": "SELECT o_orderkey AS id, count(l_orderkey) AS degree FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "ready_set": "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "chain_edges": """SELECT * FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS src, turn AS dst FROM conversations)

@@ -2,16 +2,24 @@
 
 An expression has literals, names with ``.member``, ``[index]`` and ``['key']``,
 calls with named arguments, filters (``x | name(arg=1)``, which bind tighter than
-operators), ``* / %``, ``+ -``, ``~`` (joins texts), comparisons, ``not``, ``and``
-and ``or``. Integers stay integers; ``/`` gives a float.
+operators), tests (``x is defined``, ``x is not divisibleby(2)``), ``* / %``, ``+ -``,
+``~`` (joins texts), comparisons, ``not``, ``and`` and ``or``. Integers stay integers; ``/`` gives a float.
 """
 
 from __future__ import annotations
 
+import html
 import json
+import os
+import random
 import re
+import time
+import unicodedata
 from collections.abc import Callable
+from datetime import UTC, datetime
 from typing import Any
+from urllib.parse import quote
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,6 +85,23 @@ class _Parser:
             self.take()
             name = self.take()
             found = ("filter", name, found, self.arguments() if self.peek() == ("op", "(") else {})
+        while self.peek() == ("name", "is"):
+            self.take()
+            against = self.peek() == ("name", "not")
+            if against:
+                self.take()
+            found = ("test", self.take(), found, self.positional() if self.peek() == ("op", "(") else [])
+            found = ("not", found) if against else found
+        return found
+
+    def positional(self) -> list[tuple]:
+        self.take("(")
+        found = []
+        while self.peek() != ("op", ")"):
+            found.append(self.level(0))
+            if self.peek() == ("op", ","):
+                self.take()
+        self.take(")")
         return found
 
     def arguments(self) -> dict[str, tuple]:
@@ -213,7 +238,118 @@ FILTERS: dict[str, Callable[..., Any]] = {
     "get": lambda v, key, default=None: v.get(key, default),
 }
 
-_MISSING = object()
+
+def _slug(text: str) -> str:
+    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    return re.sub(r"[^a-z0-9]+", "-", plain).strip("-")
+
+
+def _date(value: Any, format: str = "%Y-%m-%d", timezone: str | None = None) -> str:
+    """A number is seconds since 1970 in UTC, a text an ISO date or time."""
+    zone = ZoneInfo(timezone) if timezone else UTC
+    if isinstance(value, str):
+        when = datetime.fromisoformat(value)
+        return (when.astimezone(zone) if timezone and when.tzinfo else when).strftime(format)
+    return datetime.fromtimestamp(_number(value), zone).strftime(format)
+
+
+def _file_size(value: Any, binary: bool = True) -> str:
+    size, step = float(_number(value)), 1024 if binary else 1000
+    units = ("B", "KiB", "MiB", "GiB", "TiB", "PiB") if binary else ("B", "KB", "MB", "GB", "TB", "PB")
+    k = 0
+    while abs(size) >= step and k < len(units) - 1:
+        size, k = size / step, k + 1
+    return f"{size:.{2 if k else 0}f}".rstrip("0").rstrip(".") + f" {units[k]}" if k else f"{int(size)} B"
+
+
+def _at(value: Any, attribute: str) -> Any:
+    """A member by its dotted name, None where there is none."""
+    for name in attribute.split("."):
+        value = value.get(name) if isinstance(value, dict) else None
+    return value
+
+
+def _grouped(items: list, attribute: str) -> dict[str, list]:
+    found: dict[str, list] = {}
+    for x in items:
+        if (key := _at(x, attribute)) is not None:
+            found.setdefault(shown(key), []).append(x)
+    return found
+
+
+FILTERS |= {
+    "slugify": lambda v: _slug(shown(v)),
+    "addslashes": lambda v: re.sub(r"([\\'\"])", r"\\\1", shown(v)),
+    "striptags": lambda v: re.sub(r"<!--.*?-->|<[^>]*>", "", shown(v), flags=re.DOTALL),
+    "spaceless": lambda v: re.sub(r">\s+<", "><", shown(v)),
+    "escape": lambda v: html.escape(shown(v)).replace("/", "&#x2F;"),
+    "linebreaksbr": lambda v: shown(v).replace("\r\n", "<br>").replace("\n", "<br>"),
+    "urlencode": lambda v: quote(shown(v), safe="/"),
+    "urlencode_strict": lambda v: quote(shown(v), safe=""),
+    "trim_start_matches": lambda v, pat: re.sub(f"^(?:{re.escape(pat)})+", "", shown(v)),
+    "trim_end_matches": lambda v, pat: re.sub(f"(?:{re.escape(pat)})+$", "", shown(v)),
+    "indent": lambda v, prefix="    ", first=False, blank=False: "\n".join(
+        prefix + line if (k or first) and (line or blank) else line for k, line in enumerate(shown(v).split("\n"))
+    ),
+    "pluralize": lambda v, singular="", plural="s": singular if abs(_number(v)) == 1 else plural,
+    "filesizeformat": _file_size,
+    "date": _date,
+    "map": lambda v, attribute: [x for x in (_at(i, attribute) for i in v) if x is not None],
+    "filter": lambda v, attribute, value=None: [i for i in v if (_at(i, attribute) is not None if value is None else _at(i, attribute) == value)],
+    "group_by": _grouped,
+}
+
+
+def _throw(message: str) -> None:
+    raise TemplateError(message)
+
+
+def _get_env(name: str, default: Any = None) -> Any:
+    found = os.environ.get(name, default)
+    if found is None:
+        raise TemplateError(f"the environment has no {name}")
+    return found
+
+
+#: Functions that every template has; those that a caller gives come first.
+FUNCTIONS: dict[str, Callable[..., Any]] = {
+    "range": lambda end, start=0, step_by=1: list(range(start, end, step_by)),
+    "now": lambda timestamp=False, utc=False: int(time.time()) if timestamp else datetime.now(UTC if utc else None).astimezone(UTC if utc else None).isoformat(),
+    "throw": _throw,
+    "get_env": _get_env,
+    "get_random": lambda end, start=0: random.randrange(start, end),
+}
+
+TESTS: dict[str, Callable[..., bool]] = {
+    "odd": lambda v: _number(v) % 2 != 0,
+    "even": lambda v: _number(v) % 2 == 0,
+    "divisibleby": lambda v, by: _number(v) % _number(by) == 0,
+    "string": lambda v: isinstance(v, str),
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "iterable": lambda v: isinstance(v, (list, dict)),
+    "object": lambda v: isinstance(v, dict),
+    "starting_with": lambda v, x: shown(v).startswith(x),
+    "ending_with": lambda v, x: shown(v).endswith(x),
+    "containing": lambda v, x: x in v,
+    "matching": lambda v, x: re.search(x, shown(v)) is not None,
+}
+
+
+def _passes(tree: tuple, scope: dict[str, Any], functions: dict[str, Callable[..., Any]] | None) -> bool:
+    name = tree[1]
+    if name in ("defined", "undefined"):
+        try:
+            evaluate(tree[2], scope, functions)
+        except TemplateError:
+            return name == "undefined"
+        return name == "defined"
+    if name not in TESTS:
+        raise TemplateError(f"there is no test {name}")
+    try:
+        return TESTS[name](evaluate(tree[2], scope, functions), *(evaluate(x, scope, functions) for x in tree[3]))
+    except (TypeError, ZeroDivisionError, re.error) as e:
+        raise TemplateError(f"test {name}: {e}") from e
+
 
 
 def evaluate(tree: tuple, scope: dict[str, Any], functions: dict[str, Callable[..., Any]] | None = None) -> Any:
@@ -233,9 +369,15 @@ def evaluate(tree: tuple, scope: dict[str, Any], functions: dict[str, Callable[.
         except (KeyError, IndexError, TypeError) as e:
             raise TemplateError(f"{key!r} is not in {shown(held)[:80]}") from e
     if kind == "call":
-        if not functions or tree[1] not in functions:
+        known = FUNCTIONS | (functions or {})
+        if tree[1] not in known:
             raise TemplateError(f"there is no function {tree[1]}")
-        return functions[tree[1]](**{k: evaluate(v, scope, functions) for k, v in tree[2].items()})
+        try:
+            return known[tree[1]](**{k: evaluate(v, scope, functions) for k, v in tree[2].items()})
+        except (TypeError, ValueError) as e:
+            raise TemplateError(f"function {tree[1]}: {e}") from e
+    if kind == "test":
+        return _passes(tree, scope, functions)
     if kind == "filter":
         if tree[1] not in FILTERS:
             raise TemplateError(f"there is no filter {tree[1]}")
@@ -247,7 +389,7 @@ def evaluate(tree: tuple, scope: dict[str, Any], functions: dict[str, Callable[.
             value = None
         try:
             return FILTERS[tree[1]](value, **{k: evaluate(v, scope, functions) for k, v in tree[3].items()})
-        except (TypeError, KeyError, AttributeError) as e:
+        except (TypeError, KeyError, AttributeError, ValueError) as e:
             raise TemplateError(f"filter {tree[1]}: {e}") from e
     if kind == "not":
         return not evaluate(tree[1], scope, functions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,45 @@ def epoch_seconds(time: Column) -> Column:
     return F.unix_timestamp(time)
 
 
+def glob_regex(pattern: str) -> tuple[str, str]:
+    """The folder above a pattern's first wildcard, and what a file's path below it has to match."""
+    parts = pattern.split("/")
+    at = next(k for k, p in enumerate(parts) if re.search(r"[*?\[{]", p))
+    found = ""
+    for k, part in enumerate(parts[at:], at + 1):
+        last = k == len(parts)
+        if part == "**":
+            found += ".*" if last else "(?:[^/]+/)*"
+            continue
+        for token in re.findall(r"\[!?[^]]+\]|.", part):
+            if len(token) > 1:
+                found += "[" + token[1:].replace("!", "^", 1) if token[1] == "!" else token
+            else:
+                found += {"*": "[^/]*", "?": "[^/]"}.get(token, re.escape(token))
+        found += "" if last else "/"
+    return "/".join(parts[:at]) or ("/" if pattern.startswith("/") else "."), found
+
+
+def _files(spark: SparkSession, pattern: str) -> DataFrame:
+    """The files of a pattern. Where it has ``**`` the folders below are walked, and names pruned by its last part."""
+    reader = spark.read.format("binaryFile")
+    if "**" not in pattern.split("/"):
+        return reader.load(pattern)
+    folder, regex = glob_regex(pattern)
+    last = pattern.rsplit("/", 1)[-1]
+    found = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" if last == "**" else last).load(folder)
+    folder = re.escape(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).removeprefix("./").rstrip("/"))
+    above = ".*" if pattern[0] not in "/" and ":" not in pattern.split("/")[0] else "(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?"
+    return found.where(F.col("path").rlike(f"^{above}{'' if folder == re.escape('.') else folder + '/'}{regex}$"))
+
+
 def scan(spark: SparkSession, patterns: list[str], strategy: str) -> DataFrame:
     """(path, value) of all files that the glob patterns match; contents are read only for hashes."""
     empty = spark.createDataFrame([], "path string, value string")
     found = empty
     for pattern in patterns:
         try:
-            files = spark.read.format("binaryFile").load(pattern)
+            files = _files(spark, pattern)
         except Exception as e:  # Spark names a pattern that matches nothing by this error class
             if "PATH_NOT_FOUND" in str(e):
                 continue

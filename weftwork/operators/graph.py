@@ -30,6 +30,16 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+def node_count(nodes: DataFrame) -> DataFrame:
+    """(n): the number of nodes, each once."""
+    return nodes.agg(F.count_distinct("id").alias("n"))
+
+
+def dependents(done: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst): for each node that is done the nodes that wait for it."""
+    return edges.join(done.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").distinct()
+
+
 def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that nothing comes before."""
     return nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
@@ -48,6 +58,19 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
     Peels the nodes that nothing comes before, level by level. Each round is
     stored in the checkpoint folder, so plans don't grow with the depth.
     """
+    found, left = _peeled(nodes, edges, most)
+    if not left.isEmpty():
+        raise PlanError("the graph has a cycle")
+    return found
+
+
+def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): nodes that no round of ``levels`` frees: they lie on a cycle or come after one."""
+    return _peeled(nodes, edges)[1]
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The freed nodes with their levels, and those that are left."""
     spark = nodes.sparkSession
     folder = f"{_folder(spark)}/weftwork-{uuid.uuid4().hex}"
     left, rest = nodes.select("id").distinct(), edges.select("src", "dst").distinct()
@@ -58,8 +81,6 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
         free.write.parquet(path)
         free = spark.read.parquet(path)
         if free.isEmpty():
-            if not left.isEmpty():
-                raise PlanError("the graph has a cycle")
             break
         if most is not None and level >= most:
             raise RuntimeError(f"the graph is deeper than {most} levels")
@@ -67,7 +88,8 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
         left.join(free, "id", "left_anti").write.parquet(f"{folder}/left/{level}")
         rest.join(free.select(F.col("id").alias("src")), "src", "left_anti").write.parquet(f"{folder}/rest/{level}")
         left, rest = spark.read.parquet(f"{folder}/left/{level}"), spark.read.parquet(f"{folder}/rest/{level}")
-    return spark.read.parquet(*found) if found else nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
+    freed = spark.read.parquet(*found) if found else nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
+    return freed, left
 
 
 def _folder(spark: SparkSession) -> str:
@@ -85,11 +107,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
-    try:
-        levels(nodes, edges)
-    except PlanError:
-        return True
-    return False
+    return not cycle_nodes(nodes, edges).isEmpty()
 
 
 def chain_positions(siblings: DataFrame, parent: str, ordinal: str) -> DataFrame:

@@ -17,10 +17,12 @@ from weftwork.model import Task, TaskFile
 
 
 def absolute(pattern: str, namespace: tuple[str, ...] = ()) -> tuple[str, ...]:
-    """The pattern's segments from the root."""
+    """The pattern's segments from the root; none where it looks above the root, which names nothing."""
     if pattern.startswith("::"):
         namespace, pattern = (), pattern[2:]
     elif pattern.startswith(":"):
+        if not namespace:
+            return ()
         namespace, pattern = namespace[:-1], pattern[1:]
     return (*namespace, *pattern.split(":"))
 
@@ -60,6 +62,19 @@ def unresolved(references: DataFrame, name: str, catalog: DataFrame, path: str =
     return references.join(catalog.select(F.col(path).alias(name)), name, "left_anti")
 
 
+def dependencies(references: DataFrame, name: str, catalog: DataFrame, path: str = "path") -> DataFrame:
+    """The references with each path that they name: whole names, ``a:b:*`` for what is right below, ``a:b:**`` for all below.
+
+    Each path is listed under the names it answers to, so the join is on equal
+    keys, and a wildcard is no comparison of every reference with every path.
+    """
+    parts = F.split(F.col(path), ":")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.concat(F.slice(parts, F.lit(1), k), F.array(F.lit("**"))), ":"))
+    near = F.array_join(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.lit("*"))), ":")
+    keyed = catalog.select(F.col(path), F.explode(F.concat(F.array(F.col(path), near), above)).alias(name))
+    return references.join(keyed, name)
+
+
 def lookup(file: TaskFile, pattern: str, *, required: bool = True) -> list[tuple[TaskFile, Task]]:
     """The same on the driver, over a loaded file's root, in path order."""
     regex = re.compile(path_regex(absolute(pattern, file.namespace)))

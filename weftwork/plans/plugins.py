@@ -10,8 +10,10 @@ from __future__ import annotations
 import importlib
 import os
 import re
+import signal
 import subprocess
 import threading
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -76,15 +78,22 @@ class Tpl:
 
 class Sql:
     requires = "0.1.0"
+    _views = threading.Lock()
 
     def run(self, context: Context) -> DataFrame | str:
         query = context.text()
         if context.dry:
             context.emit("stdout", query)
             return ""
-        for name, frame in context.frames.items():
-            frame.createOrReplaceTempView(re.sub(r"\W", "_", name))
-        return context.spark.sql(query)
+        views = {re.sub(r"\W", "_", name): frame for name, frame in context.frames.items()}
+        with self._views:  # names are a session's: what runs beside may have a dependency of the same name
+            for name, frame in views.items():
+                frame.createOrReplaceTempView(name)
+            try:
+                return context.spark.sql(query)
+            finally:
+                for name in views:
+                    context.spark.catalog.dropTempView(name)
 
 
 class DataFramePlugin:
@@ -103,9 +112,10 @@ class DataFramePlugin:
 
 
 class Shell:
-    """``sh -c`` on the driver. The process group ends when the run is cancelled."""
+    """``sh -c`` on the driver. When the run is cancelled its process group is asked to end, and after ``grace`` seconds made to."""
 
     requires = "0.1.0"
+    grace = 30.0
 
     def run(self, context: Context) -> str:
         command = context.text()
@@ -128,13 +138,17 @@ class Shell:
         readers = [threading.Thread(target=pump, args=x, daemon=True) for x in ((process.stdout, "stdout"), (process.stderr, "stderr"))]
         for r in readers:
             r.start()
+        asked: float | None = None
         while True:
             try:
                 code = process.wait(timeout=0.1)
                 break
             except subprocess.TimeoutExpired:
-                if context.cancelled.is_set():
-                    os.killpg(process.pid, 15)
+                if context.cancelled.is_set() and asked is None:
+                    asked = time.monotonic()
+                    os.killpg(process.pid, signal.SIGTERM)
+                elif asked is not None and time.monotonic() - asked > self.grace:
+                    os.killpg(process.pid, signal.SIGKILL)
         for r in readers:
             r.join(timeout=5)
         if code:
