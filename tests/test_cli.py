@@ -45,6 +45,14 @@ def test_command_line(spark, project, capsys, monkeypatch):
     assert cli.main([*config, "--allow-shell", "where"]) == 0 and str(project / "deep") in capsys.readouterr().out
     assert cli.main([*config, "hello"]) == 1 and "allowed" in capsys.readouterr().err
     assert cli.main([*config, "--allow-shell", "bad"]) == 1
+    capsys.readouterr()
+    for _ in range(2):
+        assert cli.main([*config, "--verbose", "--log", "run.log", "shout"]) == 0
+    said = capsys.readouterr().err
+    assert "INFO shout: started" in said and "DEBUG shout: stdout: HEY YOU" in said and "\x1b" not in said
+    lines = (project / "run.log").read_text().splitlines()
+    assert len(lines) == 6 and all(line.startswith("[") for line in lines) and lines[-1].endswith("shout: exit: 0")
+    assert cli.main([*config, "shout"]) == 0 and "started" not in capsys.readouterr().err
     assert cli.main([*config, "--allow-shell", "--clean-cache", "-d", "hello"]) == 0 and "echo" in capsys.readouterr().out
 
 

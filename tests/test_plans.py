@@ -108,6 +108,75 @@ def test_sql_tasks_pass_frames(spark):
     assert result.summary(spark).count() == 2 and result.log(spark).where("type = 'started'").count() == 2
 
 
+@pytest.mark.parametrize("shape", ["once", "commands"])
+def test_shared_frame_is_computed_once(spark, shape):
+    rows = spark.sparkContext.accumulator(0)
+
+    def source(context):
+        def run(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return context.spark.range(0, 5, 1, 1).mapInArrow(run, "id long")
+
+    once = {
+        "source": {"dataframe": "source", "run": "once"}, "low": {"sql": "SELECT id, 'low' AS kind FROM source WHERE id < 3", "deps": ["source"]},
+        "high": {"sql": "SELECT id, 'high' AS kind FROM source WHERE id > 1", "deps": ["source"]},
+        "main": {"sql": "SELECT count(*) AS n FROM low JOIN high USING (id)", "deps": ["low", "high"]},
+    }
+    commands = {
+        "source": {"dataframe": "source"},
+        "main": {"cmds": [{"sql": "SELECT max(id) AS n FROM source"}, {"sql": "SELECT count(*) AS n FROM source WHERE id > 3"}], "deps": ["source"]},
+    }
+    result = go({"once": once, "commands": commands}[shape], spark=spark, functions={"source": source})
+    assert result.results[-1] == "1" and rows.value == 5
+    assert len(result.kept) == 1
+    result.release()
+    assert not result.kept and result.frames["main"].first().n == 1
+
+
+def test_frame_of_one_use_is_not_kept(spark):
+    result = go({"numbers": {"sql": "SELECT id FROM range(5)", "run": "once"}, "main": {"sql": "SELECT sum(id) AS s FROM numbers", "deps": ["numbers"]}}, spark=spark)
+    assert result.results[-1] == "10" and not result.kept
+
+
+def test_more_nodes_at_once_than_a_fixed_pool():
+    meet = threading.Barrier(12, timeout=20)
+
+    def wait(context):
+        meet.wait()
+        return "met"
+
+    tasks = {f"t{k}": {"dataframe": "wait"} for k in range(12)}
+    result = go(tasks | {"main": {"tpl": "done", "deps": list(tasks)}}, functions={"wait": wait})
+    assert result.results[-1] == "done"
+
+
+def test_registry_tells_what_runs_and_shuts_down():
+    registry, seen = Registry(), []
+
+    class Closing:
+        requires = "0.1.0"
+
+        def run(self, context):
+            seen.append(registry.is_running("closing"))
+            return "x"
+
+        def close(self):
+            seen.append("closed")
+
+    registry.register("closing", Closing())
+    assert not registry.is_running("closing")
+    run(from_data({"tasks": {"main": {"closing": "now"}}}, plugins=["closing"]), "main", registry=registry, environ={})
+    assert seen == [True] and not registry.is_running("closing")
+    registry.shutdown("closing")
+    registry.shutdown("closing")
+    assert seen == [True, "closed"] and "closing" not in registry.keys() and "tpl" in registry.keys()
+    registry.shutdown()
+    assert registry.keys() == []
+
+
 def test_sources_skip_until_changed(spark, tmp_path):
     (tmp_path / "in.txt").write_text("1")
     state = changes.StateTable(spark, str(tmp_path / "state"))

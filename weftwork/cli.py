@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import logging
 import os
 import signal
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +35,47 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--clean-cache", action="store_true", help="forget all fingerprints first")
     p.add_argument("--state", default=".weftwork/fingerprint", help="folder of the fingerprint table")
     p.add_argument("--allow-shell", action="store_true", help="let tasks run shell commands on the driver")
+    p.add_argument("-v", "--verbose", action="store_true", help="tell what starts, ends and writes, on the error stream")
+    p.add_argument("--plain", action="store_true", help="no colours; also where NO_COLOR is set or the stream is no terminal")
+    p.add_argument("--log", help="file to which all events are appended")
     return p
 
 
+class Coloured(logging.Formatter):
+    MARKS = {logging.DEBUG: 2, logging.INFO: 36, logging.ERROR: 31}
+
+    def format(self, record: logging.LogRecord) -> str:
+        return f"\x1b[{self.MARKS.get(record.levelno, 0)}m{super().format(record)}\x1b[0m"
+
+
+@contextlib.contextmanager
+def logged(verbose: bool, plain: bool, path: str | None) -> Iterator[None]:
+    """Within it the events of runs are shown and appended to a file, as asked for."""
+    handlers: list[logging.Handler] = []
+    if verbose:
+        shown = logging.StreamHandler(sys.stderr)
+        plain = plain or "NO_COLOR" in os.environ or not sys.stderr.isatty()
+        shown.setFormatter((logging.Formatter if plain else Coloured)("%(levelname)s %(message)s"))
+        handlers.append(shown)
+    if path:
+        kept = logging.FileHandler(path)
+        kept.setFormatter(logging.Formatter("[%(asctime)s] %(message)s"))
+        handlers.append(kept)
+    log = logging.getLogger("weftwork")
+    before = log.level
+    if handlers:
+        log.setLevel(logging.DEBUG)
+    for h in handlers:
+        log.addHandler(h)
+    try:
+        yield
+    finally:
+        for h in handlers:
+            log.removeHandler(h)
+            h.close()
+        log.setLevel(before)
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     argv, args = (argv[: argv.index("--")], argv[argv.index("--") + 1 :]) if "--" in argv else (argv, [])
@@ -63,9 +104,15 @@ def main(argv: list[str] | None = None) -> int:
 
         for name in (signal.SIGINT, signal.SIGTERM):
             signal.signal(name, stop)
-        for result in run(
-            file, *o.tasks, spark=spark, registry=registry, started=jobs, args=args, parallel=o.parallel, state=state, force=o.force, dry=o.dry, echo=print
-        ):
+        with logged(o.verbose, o.plain, o.log):
+            try:
+                results = run(
+                    file, *o.tasks, spark=spark, registry=registry, started=jobs, args=args, parallel=o.parallel, state=state, force=o.force, dry=o.dry, echo=print
+                )
+            finally:
+                registry.shutdown()
+        for result in results:
+            result.release()
             if o.summary:
                 for name, ms in result.durations:
                     print(f"{name}: {ms} ms")

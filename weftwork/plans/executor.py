@@ -1,17 +1,22 @@
 """Running a plan: ready nodes go to a thread pool, results flow along the edges.
 
 Spark work of independent nodes runs as concurrent jobs. The first failure stops
-scheduling; what runs is left to end, or is interrupted by ``cancel``.
+scheduling; what runs is left to end, or is interrupted by ``cancel``. A frame that
+several commands use, or that ``once`` or ``changed`` gives to several calls, is kept
+(``persist``), so its plan runs once; Spark makes lost parts again. ``RunResult.release`` lets the kept frames go. Events go to the logger
+``weftwork`` too.
 """
 
 from __future__ import annotations
 
 import itertools
+import logging
 import os
 import subprocess
 import threading
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
@@ -32,6 +37,10 @@ from weftwork.plans.plugins import Context, Registry
 EVENTS = "seq long, type string, task string, line string"
 SUMMARY = "name string, duration_ms long"
 
+LOG = logging.getLogger("weftwork")
+LOG.addHandler(logging.NullHandler())
+LEVELS = {"started": logging.INFO, "exit": logging.INFO, "error": logging.ERROR}
+
 
 def result_text(value: DataFrame | str | None) -> str:
     """A result as a text: texts trimmed; a frame of one column and at most one row its value, others nothing."""
@@ -50,6 +59,12 @@ class RunResult:
     events: list[tuple[int, str, str, str]] = field(default_factory=list)
     durations: list[tuple[str, int]] = field(default_factory=list)
     total_ms: int = 0
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let the frames go that were kept for several nodes."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
     def lines(self, kind: str | None = None) -> list[str]:
         return [e[3] for e in self.events if kind is None or e[1] == kind]
@@ -84,7 +99,7 @@ class RunCache:
 class Executor:
     def __init__(
         self, plan: Plan, spark: SparkSession | None = None, registry: Registry | None = None, *, args: list[str] | None = None,
-        state: StateTable | None = None, cache: RunCache | None = None, force: bool = False, dry: bool = False, threads: int = 8,
+        state: StateTable | None = None, cache: RunCache | None = None, force: bool = False, dry: bool = False, threads: int | None = None,
         echo: Callable[[str], None] | None = None,
     ) -> None:
         self.plan, self.spark, self.registry = plan, spark, registry or Registry()
@@ -94,6 +109,10 @@ class Executor:
         self.result = RunResult()
         self._seq, self._lock = itertools.count(), threading.Lock()
         self._values: dict[str, DataFrame | str] = {}
+        self._texts: dict[str, str] = {}
+        self._text_locks: dict[str, threading.Lock] = {}
+        self._users = Counter(n for node in plan.nodes.values() for n in set(node.deps.values()))
+        self._names = Counter(node.name for node in plan.nodes.values())
         self._gates: dict[int, tuple[bool, DataFrame | None]] = {}
         self._gate_locks: dict[int, threading.Lock] = {}
         self._left = {id(n.gate): len(n.gate.nodes) for n in plan.nodes.values()}
@@ -114,7 +133,7 @@ class Executor:
             after[src].append(dst)
         failures: dict[str, BaseException] = {}
         started = time.monotonic()
-        with ThreadPoolExecutor(self.threads) as pool:
+        with ThreadPoolExecutor(self.threads or max(1, len(order))) as pool:
             first = [] if self.cancelled.is_set() else [n for n in order if not degree[n]]
             running: dict[Future, str] = {pool.submit(self._run_node, self.plan.nodes[n]): n for n in first}
             while running:
@@ -133,12 +152,22 @@ class Executor:
             raise TaskFailed("the run was cancelled")
         if failures:
             raise failures[min(failures, key=order.index)]
-        self.result.results = [result_text(self._values[n]) if n in self._values else "" for n in order]
+        self.result.results = [self._text(n) for n in order]
         return self.result
 
     def _emit(self, kind: str, task: str, line: str) -> None:
         with self._lock:
             self.result.events.append((next(self._seq), kind, task, line))
+        LOG.log(LEVELS.get(kind, logging.DEBUG), "%s: %s: %s", task, kind, line)
+
+    def _text(self, n: str) -> str:
+        """A node's result as a text, computed once for all that ask."""
+        with self._lock:
+            lock = self._text_locks.setdefault(n, threading.Lock())
+        with lock:
+            if n not in self._texts:
+                self._texts[n] = result_text(self._values.get(n))
+            return self._texts[n]
 
     def _functions(self) -> dict[str, Callable]:
         def shell(command: str) -> str | None:
@@ -151,7 +180,7 @@ class Executor:
 
     def _scope(self, node: Node) -> dict[str, Any]:
         found = fold(node.layers, self._functions())
-        return found | {"deps_result": {name: result_text(self._values.get(n)) for name, n in node.deps.items()}}
+        return found | {"deps_result": {name: self._text(n) for name, n in node.deps.items()}}
 
     def _open(self, gate: Gate, scope: dict[str, Any]) -> tuple[bool, DataFrame | None]:
         """Whether a task's commands are to run, decided once; and the fingerprints to keep once they have."""
@@ -198,20 +227,25 @@ class Executor:
             with self.cache.lock(node.name):
                 held = self.cache.reusable(node.name, node.run, variables)
                 if held is not None:
-                    self._values[node.id], ok = held, True
+                    self._values[node.id], ok = self._kept(held) if isinstance(held, DataFrame) else held, True
                 else:
                     self._values[node.id], ok = self._execute(node, scope)
                     if ok and node.command is not None:
                         self.cache.keep(node.name, variables, self._values[node.id])
         self._close(node.gate, ok)
 
+    def _kept(self, frame: DataFrame) -> DataFrame:
+        with self._lock:
+            if not frame.is_cached:
+                self.result.kept.append(frame.persist())
+        return frame
+
     def _execute(self, node: Node, scope: dict[str, Any]) -> tuple[DataFrame | str, bool]:
         if node.command is None:
             return "", True
         self._emit("started", node.name, f"Starting task {node.name}")
         began = time.monotonic()
         try:
-            plugin = self.registry.get(node.command.plugin)
             env = fold_env(node.env_layers, os.environ)
 
             def emit(kind: str, line: str) -> None:
@@ -221,8 +255,12 @@ class Executor:
 
             frames = {name: self._values[n] for name, n in node.deps.items() if isinstance(self._values.get(n), DataFrame)}
             directory = render(node.dir, scope, self._functions())
-            found = plugin.run(Context(self.spark, node.name, node.command.payload, scope, env, directory, self.args, self.dry, emit, self.cancelled, frames, self._functions()))
+            context = Context(self.spark, node.name, node.command.payload, scope, env, directory, self.args, self.dry, emit, self.cancelled, frames, self._functions())
+            with self.registry.using(node.command.plugin) as plugin:
+                found = plugin.run(context)
             if isinstance(found, DataFrame):
+                if self._users[node.id] > 1 or node.run != "always" and self._names[node.name] > 1:
+                    self._kept(found)
                 self.result.frames[node.task] = found
             self._emit("exit", node.name, "0")
             return (found if isinstance(found, DataFrame) else (found or "").strip()), True

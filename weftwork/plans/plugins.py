@@ -7,6 +7,7 @@ the caller has allowed it.
 
 from __future__ import annotations
 
+import contextlib
 import importlib
 import os
 import re
@@ -14,7 +15,8 @@ import signal
 import subprocess
 import threading
 import time
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -88,7 +90,7 @@ class Sql:
         views = {re.sub(r"\W", "_", name): frame for name, frame in context.frames.items()}
         with self._views:  # names are a session's: what runs beside may have a dependency of the same name
             for name, frame in views.items():
-                frame.createOrReplaceTempView(name)
+                frame.where("true").createOrReplaceTempView(name)  # to drop a view of the very frame would end its persistence
             try:
                 return context.spark.sql(query)
             finally:
@@ -157,10 +159,11 @@ class Shell:
 
 
 class Registry:
-    """Plugins by key."""
+    """Plugins by key, and how many commands each runs now. A plugin may have ``close()``, called once when it is shut down."""
 
     def __init__(self, *, allow_shell: bool = False, functions: dict[str, Callable] | None = None) -> None:
         self._held: dict[str, Plugin] = {}
+        self._running, self._lock = Counter(), threading.Lock()
         self.register("tpl", Tpl())
         self.register("sql", Sql())
         self.register("dataframe", DataFramePlugin(functions))
@@ -187,6 +190,29 @@ class Registry:
     def remove(self, key: str) -> None:
         self._held.pop(key, None)
 
+    @contextlib.contextmanager
+    def using(self, key: str) -> Iterator[Plugin]:
+        """The plugin of a key, which counts as running meanwhile."""
+        plugin = self.get(key)
+        with self._lock:
+            self._running[key] += 1
+        try:
+            yield plugin
+        finally:
+            with self._lock:
+                self._running[key] -= 1
+
+    def is_running(self, key: str) -> bool:
+        with self._lock:
+            return self._running[key] > 0
+
+    def shutdown(self, *keys: str) -> None:
+        """Close and remove the plugins of these keys; without keys all of them."""
+        for key in keys or self.keys():
+            plugin = self._held.pop(key, None)
+            if hasattr(plugin, "close"):
+                plugin.close()
+
     def keys(self) -> list[str]:
         return list(self._held)
 
