@@ -1,6 +1,8 @@
 import random
 from pathlib import Path
 
+import numpy as np
+
 import corpus_pipeline
 from weftwork.llm import common, near
 
@@ -75,3 +77,37 @@ def test_small_blocks_give_the_same_classes(spark):
     with common.passing(spark):
         whole, small = ({(r["doc_id"], r["version"]): r["component_id"] for r in near.classes(docs, block=b).collect()} for b in (2048, 3))
     assert whole == small
+
+
+def batch_of(found, key):
+    """Sets as one part of one group, each in a class of its own."""
+    import pyarrow as pa
+
+    n = len(found)
+    columns = {key: [1] * n, "part": [0] * n, "visitor": [0] * n, "sig": list(range(n)), "n": [len(h) for h in found], "class": list(range(n))}
+    extra = near.lists(found) if key == "root" else pa.array([near.packed(near.bucket_counts(h)) for h in found], pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns.values()), extra], [*columns, "hashes" if key == "root" else "counts"])
+
+
+def test_groups_make_rows_for_members_not_pairs():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 64, 85, np.uint64)
+    found = [np.sort(np.concatenate([shared[k % 2 :], rng.integers(0, 1 << 64, 8 + 12 * (k % 3 == 0), np.uint64)])) for k in range(60)]
+    assert near.unpacked(batch_of(found, "token").column("counts")).sum() == sum(map(len, found))
+    pairs = {(i, j) for j in range(60) for i in range(j) if near.enough(len(found[i]), len(found[j]), len(np.intersect1d(found[i], found[j])))}
+    assert 60 < len(pairs) < 60 * 59 // 2
+
+    def grouped(edges):
+        label = list(range(60))
+        for i, j in edges:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+        return label
+
+    for key, kind in (("token", near.Possible), ("root", near.Alike)):
+        rows = [r for b in near.meet_in_parts(key, kind)([batch_of(found, key)]) for r in zip(*(b.column(c).to_pylist() for c in "ab"), strict=True)]
+        assert len(rows) < 2 * len(found)
+        if kind is near.Alike:
+            assert set((min(r), max(r)) for r in rows) <= pairs and grouped(rows) == grouped(pairs)
+        else:
+            assert all(grouped(rows)[i] == grouped(rows)[j] for i, j in pairs)

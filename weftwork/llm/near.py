@@ -15,8 +15,11 @@ Scale: texts with the same shingles meet first. In each group of texts that shar
 a shingle all are compared with one of them, and those of different classes then
 with each other, so a large class costs a few rows for each text and not the
 square. Texts that share a rare shingle and are not alike are compared pair by pair,
-in blocks in numpy by the counts of their buckets; only pairs that these leave become rows.
-Only the sets of texts to compare are dealt out.
+in blocks in numpy by the counts of their buckets. A block returns a spanning forest
+of the pairs that these leave, at most two rows for each text that it read. The trees
+that the forests make meet in blocks with their whole sets, all pairs of a tree, and
+return a spanning forest of those that are alike. So no step has a row for each pair.
+Only the sets of texts to compare are dealt out, once for each block of their tree.
 
 Defined cases: a text without words, or null, has no near copy and stays; words are
 split and lowered as in ``simhash``; fewer words than a shingle has are one shingle;
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +48,8 @@ SAMPLE = 8
 #: Shingles are counted in so many buckets, by the hash.
 BUCKETS = 256
 
-#: So many of its first tokens, by value, go with a set, so that most pairs meet at one of the tokens that they share.
-FIRSTS = 8
+#: So many hashes of whole sets are held at once.
+HELD = 1 << 21
 
 
 def shingles_of(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -60,7 +64,33 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def bucket_counts(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+    """How many hashes each bucket has, up to 255."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as four bits each where they are small enough, as bytes otherwise."""
+    return (counts[0::2] | (counts[1::2] << 4)).tobytes() if counts.max() < 16 else counts.tobytes()
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    whole = np.asarray(pc.equal(pc.binary_length(column), BUCKETS))
+    found = np.empty((len(column), BUCKETS), np.uint8)
+    bytes_of = lambda some: np.frombuffer(b"".join(column.filter(pa.array(some)).to_pylist()), np.uint8)
+    found[whole] = bytes_of(whole).reshape(-1, BUCKETS)
+    half = bytes_of(~whole).reshape(-1, BUCKETS // 2)
+    found[~whole, 0::2], found[~whole, 1::2] = half & 15, half >> 4
+    return found
+
+
+def excess(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many hashes of a set its counts leave out."""
+    return n - counts.sum(axis=-1, dtype=np.int64)
+
+
+def enough(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m that share so many are alike."""
+    return WHOLE * both >= PART * (n + m - both)
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -104,11 +134,11 @@ def marked(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
                 held = [np.unique(found[k]) for k in keep]
                 yield pa.RecordBatch.from_arrays(
                     [ids, versions, pa.array([set_id(h) for h in held], pa.int64()), pa.array(prints, pa.int64()), pa.array([len(h) for h in held], pa.int32()), lists([first(h) for h in held]),
-                     lists([bucket_counts(h) for h in held]).cast(pa.list_(pa.int32()))],
+                     pa.array([packed(bucket_counts(h)) for h in held], pa.binary())],
                     ["doc_id", "version", "sig", "fp", "n", "prefix", "counts"],
                 )
 
-    return docs.mapInArrow(common.frugal(run), "doc_id long, version long, sig long, fp long, n int, prefix array<long>, counts array<int>")
+    return docs.mapInArrow(common.frugal(run), "doc_id long, version long, sig long, fp long, n int, prefix array<long>, counts binary")
 
 
 def long_enough(n: Column, m: Column) -> Column:
@@ -116,27 +146,38 @@ def long_enough(n: Column, m: Column) -> Column:
     return WHOLE * F.least(n, m) >= PART * F.greatest(n, m)
 
 
+def left_possible(batches):
+    """The pairs (a, b) whose counts leave them as possible."""
+    for batch in batches:
+        n, m = (np.asarray(batch.column(c), np.int64) for c in ("n_a", "n_b"))
+        x, y = (unpacked(batch.column(c)) for c in ("counts_a", "counts_b"))
+        most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(excess(n, x), excess(m, y))
+        yield batch.select(["a", "b"]).filter(pa.array(enough(n, m, most)))
+
+
+def sets_of(needed: DataFrame, docs: DataFrame, shingle: int, doc_bits: int) -> DataFrame:
+    """(sig, hashes) of the sets (sig, version), read from their texts; to be used within the open scope."""
+    bitmap = common.sent(docs.sparkSession, common.bitmap_of(needed.select(F.col("version").alias("key")), "key", doc_bits))
+
+    def run(batches):
+        for batch in batches:
+            versions = np.asarray(batch.column("version")).view(np.uint64)
+            for part in common.slices(batch.filter(pa.array(common.in_bitmap(bitmap.value, versions))), "text"):
+                found = [h for t in part.column("text").cast(pa.binary()).to_pylist() if len(h := shingles_of(t or b"", shingle))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in found], pa.int64()), lists(found)], ["sig", "hashes"])
+
+    sets = docs.select("version", "text").mapInArrow(common.frugal(run), "sig long, hashes array<long>").join(needed.select("sig"), "sig", "left_semi")
+    return common.stored(sets.groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets")
+
+
 def alike(pairs: DataFrame, one: DataFrame, docs: DataFrame, shingle: int, doc_bits: int) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is high enough."""
-    spark = docs.sparkSession
-    with common.passing(spark):
+    with common.passing(docs.sparkSession):
         left, right = (one.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("counts").alias(f"counts_{k}")) for k in "ab")
-        most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        possible = pairs.join(left, "a").join(right, "b").where(WHOLE * most >= PART * (F.col("n_a") + F.col("n_b") - most))
-        pairs = common.stored(possible.select("a", "b"), "possible")
+        pairs = common.stored(pairs.join(left, "a").join(right, "b").mapInArrow(common.frugal(left_possible), "a long, b long"), "possible")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         needed = common.stored(needed.join(one.select("sig", "version"), "sig"), "needed")
-        bitmap = common.sent(spark, common.bitmap_of(needed.select(F.col("version").alias("key")), "key", doc_bits))
-
-        def run(batches):
-            for batch in batches:
-                versions = np.asarray(batch.column("version")).view(np.uint64)
-                for part in common.slices(batch.filter(pa.array(common.in_bitmap(bitmap.value, versions))), "text"):
-                    found = [h for t in part.column("text").cast(pa.binary()).to_pylist() if len(h := shingles_of(t or b"", shingle))]
-                    yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in found], pa.int64()), lists(found)], ["sig", "hashes"])
-
-        sets = docs.select("version", "text").mapInArrow(common.frugal(run), "sig long, hashes array<long>").join(needed.select("sig"), "sig", "left_semi")
-        sets = common.stored(sets.groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets")
+        sets = sets_of(needed, docs, shingle, doc_bits)
         left, right = (sets.select(F.col("sig").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "ab")
         both = F.size(F.array_intersect("of_a", "of_b"))
         met = pairs.join(left, "a").join(right, "b")
@@ -153,67 +194,162 @@ def fingerprint_pairs(one: DataFrame, radius: int) -> DataFrame:
 
 
 class Members:
-    """Rows of one token's group that a batch holds."""
+    """Sets of a batch, or those of a part so far: how many hashes, which class, and the counts."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        self.sig, self.n, self.label = (np.asarray(batch.column(c), np.int64) for c in ("sig", "n", "class"))
-        self.firsts = np.asarray(batch.column("firsts").flatten(), np.int64).reshape(-1, FIRSTS)
-        self.counts = np.asarray(batch.column("counts").flatten()).reshape(-1, BUCKETS)
-
-    def meet(self, other: Members, token: int) -> list[tuple[np.ndarray, int]]:
-        """Pairs of a row of these and one of the others (of these: an earlier one) that the bound leaves."""
-        found = []
-        for k in range(len(other.sig)):
-            n, firsts = other.n[k], other.firsts[k]
-            end = k if other is self else len(self.sig)
-            at = np.flatnonzero((self.label[:end] != other.label[k]) & (WHOLE * np.minimum(self.n[:end], n) >= PART * np.maximum(self.n[:end], n)))
-            if earlier := firsts[firsts < token].tolist():  # a pair meets at the first of its tokens that both rows tell
-                at = at[~np.isin(self.firsts[at], earlier).any(axis=1)]
-            most = np.minimum(self.counts[at], other.counts[k]).sum(axis=1)
-            at = at[WHOLE * most >= PART * (self.n[at] + n - most)]
-            if len(at):
-                found.append((self.sig[at], other.sig[k]))
+        self.sig, self.n, self.group = (np.asarray(batch.column(c), np.int64) for c in ("sig", "n", "class"))
+        self.hashes: list[np.ndarray] = []
+        if "hashes" in batch.schema.names:
+            self.hashes = [np.asarray(h.values).view(np.uint64) for h in batch.column("hashes")]
+            self.counts = np.array([bucket_counts(h) for h in self.hashes], np.uint8).reshape(-1, BUCKETS)
+        else:
+            self.counts = unpacked(batch.column("counts"))
+        self.excess = excess(self.n, self.counts)
+
+    def take(self, other: Members) -> None:
+        for name in ("sig", "n", "group", "counts", "excess"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        self.hashes += other.hashes
+
+    def long_enough(self, n: int, end: int) -> np.ndarray:
+        return WHOLE * np.minimum(self.n[:end], n) >= PART * np.maximum(self.n[:end], n)
+
+    def possible(self, at: np.ndarray, other: Members, k: int) -> np.ndarray:
+        """Those of the rows ``at`` that the counts leave as possible for row k of the others."""
+        most = np.minimum(self.counts[at], other.counts[k]).sum(axis=1, dtype=np.int64) + np.minimum(self.excess[at], other.excess[k])
+        return at[enough(self.n[at], other.n[k], most)]
+
+    def alike(self, at: np.ndarray, other: Members, k: int) -> np.ndarray:
+        """Those of the rows ``at`` whose sets are alike with that of row k of the others."""
+        h, found = other.hashes[k], []
+        step = max(1, HELD // 4 // int(self.n[at].max(initial=1)))
+        for s in range(0, len(at), step):
+            part = at[s : s + step]
+            flat = np.concatenate([self.hashes[j] for j in part])
+            hit = h[np.minimum(np.searchsorted(h, flat), len(h) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum([0, *self.n[part[:-1]]]), dtype=np.int64)
+            found.append(part[enough(self.n[part], other.n[k], both)])
+        return np.concatenate(found) if found else at
+
+
+class Possible:
+    """One part of a token's group: the trees of possible pairs of different classes so far."""
+
+    def __init__(self, home: Members) -> None:
+        self.home, self.tree = home, np.arange(len(home.sig))
+
+    def take(self, other: Members) -> None:
+        self.tree = np.concatenate([self.tree, np.arange(len(self.tree), len(self.tree) + len(other.sig))])
+        self.home.take(other)
+
+    def meet(self, other: Members, k: int, own: int | None) -> list[int]:
+        """Row k of the others, which is row ``own`` here or a visitor, joins trees: a row of each tree that it is possible with."""
+        home, found, step, end = self.home, [], 64, own
+        now = None if own is None else int(self.tree[own])
+        at = np.flatnonzero((home.group[:end] != other.group[k]) & home.long_enough(other.n[k], end))
+        while len(at):
+            some, at = home.possible(at[:step], other, k), at[step:]
+            for tree, first in zip(*(x.tolist() for x in np.unique(self.tree[some], return_index=True)), strict=True):
+                if tree != now:
+                    found.append(int(some[first]))
+                    if now is None:
+                        now = tree
+                    else:
+                        self.tree[self.tree == tree] = now
+            at, step = at[self.tree[at] != now] if now is not None else at, 4 * step
         return found
 
 
-def compare_members(batches):
-    """Over rows sorted by (token, part, visitor): each part's members against each other and its visitors."""
-    now, home = None, []
-    for batch in batches:
-        key = np.stack([np.asarray(batch.column(c), np.int64) for c in ("token", "part", "visitor")])
-        cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
-        found: list[tuple[np.ndarray, int]] = []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if s == e:
-                continue
-            token, part, visitor = key[:, s].tolist()
-            if (token, part) != now:
-                now, home = (token, part), []
-            members = Members(batch.slice(s, e - s))
-            for held in home if visitor else [*home, members]:
-                found += held.meet(members, token)
-            if not visitor:
-                home.append(members)
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-        b = np.repeat(np.array([y for _, y in found], np.int64), [len(x) for x, _ in found])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def possible_pairs(held: DataFrame, one: DataFrame, rows_a_task: int = 4096, most_tasks: int = 20_000) -> DataFrame:
-    """(a, b): sets of different classes that share a token and that the counts of their buckets leave as possible.
+class Alike:
+    """One part of a tree: its classes so far, those known before included."""
+
+    def __init__(self, home: Members) -> None:
+        self.home, self.label, self.led = home, home.group.copy(), {}
+
+    def find(self, label: int) -> int:
+        while label in self.led:
+            label = self.led[label]
+        return label
+
+    def take(self, other: Members) -> None:
+        self.label = np.concatenate([self.label, [self.find(x) for x in other.group.tolist()]])
+        self.home.take(other)
+
+    def meet(self, other: Members, k: int, own: int | None) -> list[int]:
+        """Row k of the others joins classes: a row of each class that it is alike to."""
+        home, found, end = self.home, [], own
+        now = self.find(int(other.group[k]))
+        at = home.possible(np.flatnonzero((self.label[:end] != now) & home.long_enough(other.n[k], end)), other, k)
+        first = np.unique(self.label[at], return_index=True)[1]
+        for some in (at[first], np.delete(at, first)):  # one of each class may do
+            some = home.alike(some[self.label[some] != now], other, k)
+            for j in some.tolist():
+                if (label := int(self.label[j])) != now:
+                    found.append(j)
+                    self.led[label] = now
+                    self.label[self.label == label] = now
+        return found
+
+
+def meet_in_parts(key_name: str, kind: type):
+    """Over rows sorted by (key, part, visitor): each part's members meet each other and its visitors."""
+
+    def run(batches):
+        now, part_now = None, None
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(c), np.int64) for c in (key_name, "part", "visitor")])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            a, b = [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                *at, visitor = key[:, s].tolist()
+                members, before = Members(batch.slice(s, e - s)), 0
+                if at != now:
+                    now, part_now = at, kind(Members(batch.slice(s, 0 if visitor else e - s)))
+                elif not visitor:
+                    before = len(part_now.home.sig)
+                    part_now.take(members)
+                for k in range(len(members.sig)):
+                    found = part_now.meet(members, k, None if visitor else before + k)
+                    a += part_now.home.sig[found].tolist()
+                    b += [members.sig[k]] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def dealt(rows: DataFrame, key: str, columns: list[str], tasks: int, most_tasks: int = 20_000) -> DataFrame:
+    """Each row to its part of its key, and as a visitor to the parts before it."""
+    at_home = rows.select(key, F.col("own").alias("part"), F.lit(0).alias("visitor"), *columns)
+    abroad = rows.where("own > 0").select(key, F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"), F.lit(1).alias("visitor"), *columns)
+    return at_home.unionByName(abroad).repartition(max(1, min(most_tasks, tasks)), key, "part").sortWithinPartitions(key, "part", "visitor")
+
+
+def own_part() -> Column:
+    return F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("own")
+
+
+def possible_links(held: DataFrame, one: DataFrame, rows_a_task: int = 4096) -> DataFrame:
+    """(a, b): a forest of sets of different classes that share a token and that the counts of their buckets leave as possible.
 
     held: (token, sig, n, class, parts), the members of each token in so many parts.
-    Parts meet in numpy, so no pair is a row but those that are left.
     """
-    last = F.lit((1 << 63) - 1)
-    firsts = F.slice(F.concat(F.array_sort("prefix"), F.array_repeat(last, FIRSTS)), 1, FIRSTS)
-    full = held.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).join(one.select("sig", "counts", firsts.alias("firsts")), "sig")
-    columns = ["sig", "n", "class", "firsts", "counts"]
-    at_home = full.select("token", F.col("own").alias("part"), F.lit(0).alias("visitor"), *columns)
-    abroad = full.where("own > 0").select("token", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"), F.lit(1).alias("visitor"), *columns)
-    tasks = max(1, min(most_tasks, -(-held.count() // rows_a_task)))
-    dealt = at_home.unionByName(abroad).repartition(tasks, "token", "part").sortWithinPartitions("token", "part", "visitor")
-    return dealt.mapInArrow(common.frugal(compare_members), "a long, b long")
+    full = held.select("token", "sig", "n", "class", own_part()).join(one.select("sig", "counts"), "sig")
+    rows = dealt(full, "token", ["sig", "n", "class", "counts"], -(-held.count() // rows_a_task))
+    return rows.mapInArrow(common.frugal(meet_in_parts("token", Possible)), "a long, b long")
+
+
+def alike_links(trees: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """(a, b): a forest of the sets of different classes that are alike, by all pairs of each tree.
+
+    trees: (root, sig, n, class); sets: (sig, hashes).
+    """
+    of_tree = trees.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / HELD)).cast("int").alias("parts"))
+    full = trees.join(of_tree, "root").select("root", "sig", "n", "class", own_part()).join(sets, "sig")
+    size = trees.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("hashes")).first()
+    rows = dealt(full, "root", ["sig", "n", "class", "hashes"], size["rows"] // 256 + size["hashes"] // (HELD // 8) + 1)
+    return rows.mapInArrow(common.frugal(meet_in_parts("root", Alike)), "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = 5, radius: int = 2, bits: int = 1 << 24, block: int = 2048) -> DataFrame:
@@ -243,9 +379,13 @@ def classes(docs: DataFrame, shingle: int = 5, radius: int = 2, bits: int = 1 <<
         of_token = held.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
         mixed = of_token.where("low < high").select("token", "parts")
         held = common.stored(held.join(mixed, "token"), "held")
-        across = possible_pairs(held, one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(to_head, ["a", "b"], "left_anti")
-        across = common.stored(across, "pairs", outlives=True)
-    rest = alike(across, one, known, shingle, bits)
+        links = common.stored(possible_links(held, one).distinct(), "links")
+        tree = simhash.components(links).select(F.col("node").alias("sig"), F.col("root").alias("tree"))
+        labels = found.select(F.col("node").alias("sig"), F.col("root").alias("class"))
+        trees = tree.join(one.select("sig", "n", "version"), "sig").join(labels, "sig", "left")
+        trees = common.stored(trees.select(F.col("tree").alias("root"), "sig", "n", "version", F.coalesce("class", "sig").alias("class")), "trees")
+        sets = sets_of(trees.select("sig", "version"), known, shingle, bits)
+        rest = common.stored(alike_links(trees, sets, block), "alike", outlives=True)
 
     found = simhash.components(near.unionByName(rest))
     roots = one.join(found, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
