@@ -128,26 +128,27 @@ def gram_counts(text: str, config: LangidConfig) -> tuple[np.ndarray, np.ndarray
 
 
 def sample(known: DataFrame, sizes: dict[str, int], config: LangidConfig) -> DataFrame:
-    """(lang, h, at, counts): the n-grams of at most ``sample_rows`` texts a language, in the order of h."""
+    """(lang, h, at, counts): the n-grams of at most ``sample_rows`` texts a language, in the order of doc_id's hash, then h."""
     # A share of each language by hash, then a strict bound among the few that it leaves.
     limit = F.lit(0.0)
     for lang, n in sizes.items():
         limit = F.when(F.col("lang") == lang, F.lit(min(1.0, config.sample_rows / n))).otherwise(limit)
     by_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
     share = F.pmod(by_hash, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    turn = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, "text"):
                 found = [gram_counts(t, config) for t in part.column("text").to_pylist()]
                 at, counts = (pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int64())))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), at, counts], ["lang", "h", "at", "counts"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "h", "turn")), at, counts], ["lang", "h", "turn", "at", "counts"])
 
-    picked = known.where(share < limit).select("lang", by_hash.alias("h"), "text")
-    grams = picked.mapInArrow(common.frugal(run), "lang string, h long, at array<int>, counts array<long>")
-    once = grams.groupBy("lang", "h").agg(F.first("at").alias("at"), F.first("counts").alias("counts"))
+    picked = known.where(share < limit).select("lang", by_hash.alias("h"), turn.alias("turn"), "text")
+    grams = picked.mapInArrow(common.frugal(run), "lang string, h long, turn long, at array<int>, counts array<long>")
+    once = grams.groupBy("lang", "h").agg(*(F.first(c).alias(c) for c in ("turn", "at", "counts")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return once.withColumn("nth", nth).where(F.col("nth") <= config.sample_rows).orderBy("h", "lang").select("lang", "h", "at", "counts")
+    return once.withColumn("nth", nth).where(F.col("nth") <= config.sample_rows).orderBy("turn", "h", "lang").select("lang", "h", "at", "counts")
 
 
 class Ftrl:
